@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate
+from skein.llm import consolidate, conversations
 from skein.sources.tables import table
 
 
@@ -12,5 +12,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.groups(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "golden"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild(spark, f"{sf_dir}/twcs.parquet")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p7_found)}
 ORACLE: dict[str, str] = {}
