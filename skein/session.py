@@ -74,3 +74,12 @@ class Scratch:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least two partitions a core, for stages whose cost a row is high.
+
+    Large inputs are split finely by their scan and are left as they are.
+    """
+    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
