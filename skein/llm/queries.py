@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate, conversations
+from skein.llm import consolidate, conversations, encoding, garbled
 from skein.sources.tables import table
 
 
@@ -16,5 +16,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(spark, f"{sf_dir}/twcs.parquet")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_found)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoded(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every garbled text as restored; lossless is false where something stays lost."""
+    return garbled.garbled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p7_found, p8_ids, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {}
