@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate, conversations, encoding, garbled
+from skein.llm import consolidate, conversations, encoding, garbled, leakage, splits
 from skein.sources.tables import table
 
 
@@ -29,5 +29,25 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_found, p8_ids, p10_found, p10_restored)}
-ORACLE: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign(table(spark, sf_dir, "golden"))[1].select("thread_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for each golden row, in the given shares, whole threads only."""
+    return splits.assign(table(spark, sf_dir, "golden"))[0]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+ORACLE: dict[str, str] = {
+    "p5_found": """
+SELECT thread_id FROM (
+  SELECT thread_id, CASE WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'dev' WHEN s IN ('train', 'test') THEN s END AS split
+  FROM (SELECT thread_id, lower(regexp_replace(split, '\\s', '', 'g')) AS s FROM golden WHERE id IS NOT NULL)
+) WHERE thread_id IS NOT NULL GROUP BY thread_id HAVING count(DISTINCT split) > 1
+""",
+}
