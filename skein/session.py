@@ -21,6 +21,7 @@ def local_session(app: str = "skein", cores: int = 8, shuffle: int = 8) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
