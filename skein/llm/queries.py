@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate, conversations, encoding, garbled, leakage, splits
+from skein.llm import consolidate, conversations, encoding, garbled, leakage, private, splits
 from skein.sources.tables import table
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.records(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "golden"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.found(_records(spark, sf_dir))
+
+
+def p1_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typed placeholders, and with surrogates, in place of personal information."""
+    return private.replaced(_records(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.groups(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "golden"))
 
@@ -42,7 +55,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 SELECT thread_id FROM (
