@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate, conversations, encoding, garbled, leakage, private, splits
+from skein.llm import consolidate, conversations, encoding, garbled, languages, leakage, private, splits
 from skein.sources.tables import table
 
 
@@ -42,6 +42,17 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = languages.exchange_texts(table(spark, sf_dir, "exchanges"))
+    return languages.mislabelled(texts).withColumnRenamed("id", "tweet_id")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch of each customer text with its language and confidence."""
+    texts = languages.exchange_texts(table(spark, sf_dir, "exchanges"))
+    return languages.segments(texts).withColumnRenamed("id", "tweet_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(table(spark, sf_dir, "golden"))[1].select("thread_id")
 
@@ -55,7 +66,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 SELECT thread_id FROM (
