@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import consolidate, conversations, encoding, garbled, languages, leakage, private, splits
+from skein.llm import consolidate, conversations, encoding, garbled, languages, leakage, private, residue, splits
 from skein.sources.tables import table
 
 
@@ -25,6 +25,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.groups(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "golden"))
 
 
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.records(table(spark, sf_dir, "drafts"), table(spark, sf_dir, "hits"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(_replies(spark, sf_dir))
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each draft and reply is residue, with the slot or phrase that shows it."""
+    return residue.scored(_replies(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(spark, f"{sf_dir}/twcs.parquet")
 
@@ -66,7 +79,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p6_found, p6_scores, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 SELECT thread_id FROM (
