@@ -92,7 +92,7 @@ def _step(key, frames, state: GroupState):
     if len(open_rows):
         state.update((pickle.dumps(open_rows, protocol=5),))
         newest = open_rows["at"].max()
-        state.setTimeoutTimestamp(max(wm + 1, (newest * 1000 if newest != NONE else wm) + state_timeout()))
+        state.setTimeoutTimestamp(int(max(wm + 1, (newest * 1000 if newest != NONE else max(wm, 0)) + state_timeout())))
     elif state.exists:
         state.remove()
     yield close(rows[is_closed])

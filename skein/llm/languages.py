@@ -22,6 +22,7 @@ from skein.session import spread
 LANGS = ("en", "es", "fr", "de", "pt", "it")
 SAMPLE_ROWS = 12_000  # labelled rows a model is fitted on, all languages together
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, (8, 10), 128, 1.0
+STEPS = 400  # a small sample is gone through more often, up to 60 times
 KNOWN = 5  # a word seen less often in the sample, such as a name, counts for UNKNOWN of its score
 UNKNOWN = 0.25
 KEEP_ERROR = 0.02  # the share of accepted held-out texts that may be wrong
@@ -152,6 +153,7 @@ def fit(texts: list[str], labels: list[int], epochs: int, balanced: bool, seed:
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
     weight = len(y) / (len(LANGS) * np.maximum(np.bincount(y, minlength=len(LANGS)), 1))
     weight = np.minimum(weight ** (1.0 if balanced else 0.5), 8).astype(np.float32)
+    epochs = max(epochs, min(60, STEPS * BATCH // max(len(y), 1)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(y))
