@@ -14,7 +14,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,6 +27,8 @@ BUCKET_ROWS = 4_000  # rows of a state bucket on average
 #: Rows later than this behind the newest are dropped by the watermark; a replay of a whole dump
 #: must keep all, so by default conversations close by count and nothing is ever late.
 WATERMARK_DELAY = "100 years"
+LARGE_ROWS = 500_000  # conversations of more rows are never buffered in one state
+SLICE_SECONDS = 3_600  # they are numbered by slices of this length
 TIMEOUT_MS = 30 * 24 * 3600 * 1000  # an open conversation is closed this long after its last message
 OUT = "conversation_id long, turn int, tweet_id long, role string"
 COLS = ["root", "tweet_id", "at", "content", "customer", "broken", "tree_rows"]
@@ -72,6 +74,22 @@ def close(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conversation_id": root, "turn": turn.astype(np.int32), "tweet_id": tweet, "role": np.where(customer, "customer", "brand")})
 
 
+def close_large(rows: DataFrame) -> DataFrame:
+    """What close() gives, for conversations too large for one task; rows has the columns COLS.
+
+    Repeats and validity are plain aggregates with partial sums. A turn is the number of messages
+    in earlier slices of the conversation plus the place within its slice, so no task sees more
+    than a slice.
+    """
+    once = rows.groupBy("root", "tweet_id").agg(F.max("at").alias("at"), F.max("content").alias("content"), F.max("customer").alias("customer"), F.max("broken").alias("broken"))
+    good = once.groupBy("root").agg(F.max(F.col("broken") | (F.col("at") == NONE)).alias("bad"), F.max(F.col("content") & F.col("customer")).alias("asked"), F.max(F.col("content") & ~F.col("customer")).alias("answered")).where("not bad and asked and answered")
+    told = once.where("content").join(good.select("root"), "root", "left_semi").withColumn("slice", F.floor(F.col("at") / SLICE_SECONDS))
+    sizes = told.groupBy("root", "slice").count()
+    before = sizes.select("root", "slice", (F.sum("count").over(Window.partitionBy("root").orderBy("slice")) - F.col("count")).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("root", "slice").orderBy("at", "tweet_id")) + F.col("before")
+    return told.join(before, ["root", "slice"]).select(F.col("root").alias("conversation_id"), turn.cast("int").alias("turn"), "tweet_id", F.when(F.col("customer"), "customer").otherwise("brand").alias("role"))
+
+
 def _step(key, frames, state: GroupState):
     """Buffer a bucket's new rows; emit what is complete, or on timeout what is old enough."""
     kept = pickle.loads(state.get[0]) if state.exists else None
@@ -110,12 +128,13 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return path if fs.getFileStatus(p).isDirectory() else f"{path[:-1]}[{path[-1]}]"
 
 
-def rebuild(spark: SparkSession, folder: str, scratch: Scratch | None = None, watermark_delay: str = WATERMARK_DELAY, bucket_rows: int = BUCKET_ROWS, files_per_trigger: int | None = None) -> DataFrame:
+def rebuild(spark: SparkSession, folder: str, scratch: Scratch | None = None, watermark_delay: str = WATERMARK_DELAY, bucket_rows: int = BUCKET_ROWS, files_per_trigger: int | None = None, large_rows: int = LARGE_ROWS) -> DataFrame:
     """(conversation_id, turn, tweet_id, role) of the message rows in a Parquet file or folder.
 
     turn counts from 1 by instant, then tweet_id. Null and unreadable instants, null and empty
     texts and repeated rows are handled as close() states; rows with a null tweet_id are dropped;
-    an empty table gives an empty result; other columns are not read.
+    an empty table gives an empty result; other columns are not read. Conversations of more than
+    large_rows rows bypass the state, with the same result; see close_large().
     """
     scratch = scratch or Scratch(spark, "conversations")
     static = spark.read.parquet(folder)
@@ -125,18 +144,25 @@ def rebuild(spark: SparkSession, folder: str, scratch: Scratch | None = None, wa
     reader = spark.readStream.schema(static.select(*needed).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    at = instant(F.col("created_at"))
-    rows = reader.parquet(_streamable(spark, folder)).select(
-        F.col("tweet_id").cast("long").alias("tweet_id"), at.alias("sec"), has_content(F.col("text")).alias("content"), is_customer(F.col("author_id")).alias("customer")
-    )
-    rows = rows.withColumn("event_time", F.timestamp_seconds("sec")).withWatermark("event_time", watermark_delay)
-    rows = rows.join(idx, "tweet_id").select(
-        F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"), "event_time", "root", "tweet_id", F.coalesce("sec", F.lit(NONE)).alias("at"), "content", "customer", "broken", "tree_rows"
-    )
+
+    def joined(rows: DataFrame, watermark: bool, keep: Column) -> DataFrame:
+        rows = rows.select(F.col("tweet_id").cast("long").alias("tweet_id"), instant(F.col("created_at")).alias("sec"), has_content(F.col("text")).alias("content"), is_customer(F.col("author_id")).alias("customer"))
+        rows = rows.withColumn("event_time", F.timestamp_seconds("sec"))
+        if watermark:
+            rows = rows.withWatermark("event_time", watermark_delay)
+        return rows.join(idx.where(keep), "tweet_id").select(
+            F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("int").alias("bucket"), "event_time", "root", "tweet_id", F.coalesce("sec", F.lit(NONE)).alias("at"), "content", "customer", "broken", "tree_rows"
+        )
+
+    large = F.col("tree_rows") > large_rows
+    rows = joined(reader.parquet(_streamable(spark, folder)), True, ~large)
     out = rows.groupBy("bucket").applyInPandasWithState(_step, OUT, "buffer binary", "append", GroupStateTimeout.EventTimeTimeout)
     sink = scratch.path("closed")
     query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch.path("progress")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.schema(OUT).parquet(sink)
+    closed = spark.read.schema(OUT).parquet(sink)
+    if not idx.where(large).limit(1).count():
+        return closed
+    return closed.unionByName(close_large(joined(static, False, large)))

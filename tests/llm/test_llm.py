@@ -242,7 +242,7 @@ TALKS = [
 WANT = [(1, 1, 1, "customer"), (1, 2, 2, "customer"), (1, 3, 3, "brand"), (60, 1, 61, "brand"), (60, 2, 60, "customer")]
 
 
-@pytest.mark.parametrize("parts, k", [(1, {}), (4, {"files_per_trigger": 1, "bucket_rows": 3})])
+@pytest.mark.parametrize("parts, k", [(1, {}), (4, {"files_per_trigger": 1, "bucket_rows": 3}), (2, {"large_rows": 2})])
 def test_conversations(spark, tmp_path, parts, k):
     assert rebuild(spark, tmp_path, TALKS, parts, **k) == WANT
 
