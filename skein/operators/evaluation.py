@@ -164,3 +164,29 @@ def max_label(rows: DataFrame, key: str, label: str, weight: Column) -> DataFram
     s = rows.groupBy(key, label).agg(F.round(F.sum(weight), 9).alias("w"))
     w = Window.partitionBy(key).orderBy(F.desc("w"), label)
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, F.col(label).alias("pred"), F.col("w").alias("weight"))
+
+
+def held_out_threshold(dev: DataFrame, test: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The threshold that handles most of dev at no more than a third of its base error, scored on test.
+
+    The first threshold wins ties; there is no row where none qualifies.
+    """
+    base = F.lit(dev.agg(ratio(F.count_if(~F.col("correct")), F.count("*"))).first()[0])  # one row
+    ok = sweep(dev, thresholds).where((F.col("n_auto") > 0) & (ratio(F.col("auto_wrong"), F.col("n_auto")) <= base / 3))
+    best = ok.orderBy(F.desc("n_auto"), "threshold").limit(1).select("threshold", F.col("n_auto").alias("dev_auto"))
+    return best.join(sweep(test, thresholds), "threshold").select("threshold", "dev_auto", "n", "n_auto", "auto_wrong")
+
+
+def annotator_pairs(labels: DataFrame, least: int = 20) -> DataFrame:
+    """(a, b, n, same, raw) of each pair of annotators with at least `least` common items, from (id, annotator, label)."""
+    x = labels.where("label is not null").groupBy("id", "annotator").agg(F.min("label").alias("label"))
+    a, b = x.toDF("id", "a", "la"), x.toDF("id", "b", "lb")
+    g = a.join(b, "id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("la") == F.col("lb")).alias("same"))
+    return g.where(F.col("n") >= least).withColumn("raw", F.round(ratio(F.col("same"), F.col("n")), 6))
+
+
+def arm_summary(drafts: DataFrame, good: Column) -> DataFrame:
+    """(drafter, n, good, rate, lo, hi) of drafts with a Wilson interval."""
+    g = drafts.groupBy("drafter").agg(F.count("*").alias("n"), F.count_if(good).alias("good"))
+    lo, hi = wilson(F.col("good"), F.col("n"))
+    return g.select("drafter", "n", "good", F.round(ratio(F.col("good"), F.col("n")), 6).alias("rate"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))

@@ -238,3 +238,32 @@ def results_diff(spark, sf_dir):
     d = table(spark, sf_dir, "drafts")
     flat = lambda r: d.where(F.col("id") % 2 == r).groupBy(F.concat("drafter", F.lit("/"), F.coalesce("intent", F.lit("-"))).alias("path")).agg(F.round(F.avg(F.length("text")), 3).cast("string").alias("value"))
     return E.flat_diff(flat(0), flat(1), 1.0).select("path")
+
+
+_GRID = [round(0.1 * i, 1) for i in range(51)]
+
+
+@query(_P + f""", s AS (SELECT id, y = pred AS correct, weight AS confidence FROM p WHERE y IS NOT NULL), t AS (SELECT unnest({_GRID})::DOUBLE AS threshold),
+g AS (SELECT threshold, id % 2 = 0 AS dev, count(*) AS n, count(*) FILTER (confidence >= threshold) AS n_auto, count(*) FILTER (confidence >= threshold AND NOT correct) AS auto_wrong FROM s, t GROUP BY ALL),
+bs AS (SELECT count(*) FILTER (NOT correct) / count(*)::DOUBLE AS base FROM s WHERE id % 2 = 0),
+ch AS (SELECT threshold, n_auto AS dev_auto FROM g, bs WHERE dev AND n_auto > 0 AND auto_wrong / n_auto::DOUBLE <= base / 3 ORDER BY n_auto DESC, threshold LIMIT 1)
+SELECT threshold, dev_auto, n, n_auto, auto_wrong FROM ch JOIN g USING (threshold) WHERE NOT dev""")
+def heldout_threshold(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return E.held_out_threshold(s.where("id % 2 = 0"), s.where("id % 2 = 1"), _GRID)
+
+
+@query("""WITH x AS (SELECT qid AS id, rank AS annotator, min(intent) AS label FROM hits WHERE intent IS NOT NULL GROUP BY ALL)
+SELECT a.annotator AS a, b.annotator AS b, count(*) AS n, count(*) FILTER (a.label = b.label) AS same, round(count(*) FILTER (a.label = b.label) / count(*)::DOUBLE, 6) AS raw FROM x a JOIN x b ON a.id = b.id AND a.annotator < b.annotator GROUP BY ALL HAVING count(*) >= 20""")
+def annotator_pairs(spark, sf_dir):
+    """How often two ranks of the hits name the same intent."""
+    return E.annotator_pairs(table(spark, sf_dir, "hits").select(F.col("qid").alias("id"), F.col("rank").alias("annotator"), F.col("intent").alias("label")))
+
+
+_ARM = """WITH d AS (SELECT drafter AS label, count(*) AS support, count(*) FILTER (coalesce(error, '') = '' AND length(text) BETWEEN 1 AND 280) AS tp FROM drafts GROUP BY 1)
+"""
+
+
+@query(_ARM + f"SELECT label AS drafter, support AS n, tp AS good, round(tp / support::DOUBLE, 6) AS rate, {_WLO} AS lo, {_WHI} AS hi FROM d")
+def draft_arms(spark, sf_dir):
+    return E.arm_summary(table(spark, sf_dir, "drafts"), F.coalesce((F.coalesce("error", F.lit("")) == "") & F.length("text").between(1, 280), F.lit(False)))
