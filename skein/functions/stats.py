@@ -22,7 +22,8 @@ def wilson(k: Column, n: Column, z: float = WILSON_Z) -> tuple[Column, Column]:
     mid = p + F.lit(z * z) / (2 * nn)
     half = F.lit(z) * F.sqrt(p * (1 - p) / nn + F.lit(z * z) / (4 * nn * nn))
     scale = 1 + F.lit(z * z) / nn
-    return (F.coalesce(F.greatest((mid - half) / scale, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least((mid + half) / scale, F.lit(1.0)), F.lit(0.0)))
+    some = n > 0  # greatest and least skip nulls
+    return (F.when(some, F.greatest((mid - half) / scale, F.lit(0.0))).otherwise(0.0), F.when(some, F.least((mid + half) / scale, F.lit(1.0))).otherwise(0.0))
 
 
 def entropy(ps: Column) -> Column:

@@ -166,13 +166,13 @@ def max_label(rows: DataFrame, key: str, label: str, weight: Column) -> DataFram
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, F.col(label).alias("pred"), F.col("w").alias("weight"))
 
 
-def held_out_threshold(dev: DataFrame, test: DataFrame, thresholds: list[float]) -> DataFrame:
-    """The threshold that handles most of dev at no more than a third of its base error, scored on test.
+def held_out_threshold(dev: DataFrame, test: DataFrame, thresholds: list[float], share: float = 1 / 3) -> DataFrame:
+    """The threshold that handles most of dev at no more than `share` of its base error, scored on test.
 
     The first threshold wins ties; there is no row where none qualifies.
     """
     base = F.lit(dev.agg(ratio(F.count_if(~F.col("correct")), F.count("*"))).first()[0])  # one row
-    ok = sweep(dev, thresholds).where((F.col("n_auto") > 0) & (ratio(F.col("auto_wrong"), F.col("n_auto")) <= base / 3))
+    ok = sweep(dev, thresholds).where((F.col("n_auto") > 0) & (ratio(F.col("auto_wrong"), F.col("n_auto")) <= base * share))
     best = ok.orderBy(F.desc("n_auto"), "threshold").limit(1).select("threshold", F.col("n_auto").alias("dev_auto"))
     return best.join(sweep(test, thresholds), "threshold").select("threshold", "dev_auto", "n", "n_auto", "auto_wrong")
 

@@ -246,11 +246,11 @@ _GRID = [round(0.1 * i, 1) for i in range(51)]
 @query(_P + f""", s AS (SELECT id, y = pred AS correct, weight AS confidence FROM p WHERE y IS NOT NULL), t AS (SELECT unnest({_GRID})::DOUBLE AS threshold),
 g AS (SELECT threshold, id % 2 = 0 AS dev, count(*) AS n, count(*) FILTER (confidence >= threshold) AS n_auto, count(*) FILTER (confidence >= threshold AND NOT correct) AS auto_wrong FROM s, t GROUP BY ALL),
 bs AS (SELECT count(*) FILTER (NOT correct) / count(*)::DOUBLE AS base FROM s WHERE id % 2 = 0),
-ch AS (SELECT threshold, n_auto AS dev_auto FROM g, bs WHERE dev AND n_auto > 0 AND auto_wrong / n_auto::DOUBLE <= base / 3 ORDER BY n_auto DESC, threshold LIMIT 1)
+ch AS (SELECT threshold, n_auto AS dev_auto FROM g, bs WHERE dev AND n_auto > 0 AND auto_wrong / n_auto::DOUBLE <= base * 0.9::DOUBLE ORDER BY n_auto DESC, threshold LIMIT 1)
 SELECT threshold, dev_auto, n, n_auto, auto_wrong FROM ch JOIN g USING (threshold) WHERE NOT dev""")
 def heldout_threshold(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return E.held_out_threshold(s.where("id % 2 = 0"), s.where("id % 2 = 1"), _GRID)
+    return E.held_out_threshold(s.where("id % 2 = 0"), s.where("id % 2 = 1"), _GRID, 0.9)
 
 
 @query("""WITH x AS (SELECT qid AS id, rank AS annotator, min(intent) AS label FROM hits WHERE intent IS NOT NULL GROUP BY ALL)
