@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import components
@@ -26,8 +26,9 @@ def walk(ids: np.ndarray, up: np.ndarray) -> tuple[list, list, list, list, list,
     """Depth-first traversal of one sorted block of ids; up[i] is the index of i's parent, or -1.
 
     Returns root index, depth, pre-order position within the tree, number of descendants, cycle
-    flag, and the traversal order. A node on a cycle, or below one, has depth -1, its root is the
-    smallest index on the cycle and it has no position.
+    flag, and the traversal order. A node on a cycle, or below one, has depth -1 and its root is the
+    smallest index on the cycle. The trees that hang off a cycle are numbered one after the other,
+    by their tops; only the nodes of the cycle itself have no position.
     """
     n = len(ids)
     order = np.argsort(up, kind="stable")
@@ -36,8 +37,8 @@ def walk(ids: np.ndarray, up: np.ndarray) -> tuple[list, list, list, list, list,
     root, depth, pre, below, ring = [-1] * n, [-1] * n, [-1] * n, [0] * n, [False] * n
     colour, done = bytearray(n), []
 
-    def descend(start: int, flat: bool) -> None:
-        stack, at = [start], 0
+    def descend(start: int, flat: bool, at: int = 0) -> int:
+        stack = [start]
         while stack:
             i = stack.pop()
             if i < 0:  # all below ~i are done
@@ -49,17 +50,16 @@ def walk(ids: np.ndarray, up: np.ndarray) -> tuple[list, list, list, list, list,
                 continue
             colour[i] = GREY
             root[i] = root[start]
+            pre[i] = at
+            at += 1
+            stack.append(~i)
             if not flat:
                 depth[i] = depth[upl[i]] + 1 if i != start else 0
-                pre[i] = at
-                at += 1
                 done.append(i)
-                stack.append(~i)
-            else:
-                colour[i] = BLACK
             lo, hi = first[i], first[i + 1]
             if hi > lo:
                 stack.extend([k for k in kids[lo:hi][::-1] if colour[k] == WHITE])
+        return at
 
     for s in np.flatnonzero(up < 0).tolist():
         root[s] = s
@@ -72,20 +72,15 @@ def walk(ids: np.ndarray, up: np.ndarray) -> tuple[list, list, list, list, list,
             colour[i] = GREY
             trail.append(i)
             i = upl[i]
-        if colour[i] == GREY:  # the link trail[-1] -> i is a back edge and closes a cycle
-            cycle = trail[trail.index(i) :]
-            low = min(cycle)
-            for k in cycle:
-                root[k], ring[k], colour[k] = low, True, BLACK
-            for k in cycle:
-                descend(k, True)
+        cycle = trail[trail.index(i) :]  # the link trail[-1] -> i is a back edge and closes a cycle; all below earlier ones is black
+        low, at = min(cycle), 0
         for k in trail:
-            if colour[k] == GREY:
-                colour[k] = WHITE
-        for k in trail[::-1]:
-            if root[k] < 0:
-                root[k] = root[upl[k]]
-                descend(k, True)
+            colour[k] = WHITE
+        for k in cycle:
+            root[k], ring[k], colour[k] = low, True, BLACK
+        for k in sorted(c for k in cycle for c in kids[first[k] : first[k + 1]] if colour[c] == WHITE):
+            root[k] = low
+            at = descend(k, True, at)
     return root, depth, pre, below, ring, done
 
 
@@ -156,8 +151,8 @@ def _paths(batches):
     yield batch()
 
 
-def _doubled(big: DataFrame, scratch: Scratch) -> DataFrame:
-    """The columns of _traverse but pre and below, for components too large for one task.
+def _doubled(big: DataFrame, scratch: Scratch, positions: bool = True) -> DataFrame:
+    """The columns of _traverse, for components too large for one task; pre and below only if positions.
 
     After k rounds a node knows its ancestor 2^k links up, or its root and depth. When no node
     that is still climbing gained one, all that climb lead into cycles; the ancestors they then
@@ -179,12 +174,50 @@ def _doubled(big: DataFrame, scratch: Scratch) -> DataFrame:
     ring = jump.where("not top").select(F.col("anc").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
     low = jump.join(ring, "id").select(F.col("id").alias("anc"), F.col("low").alias("cycle_low"))
     out = jump.join(low, "anc", "left").join(ring, "id", "left").join(base, "id")
-    out = out.select("id", F.col("link").alias("parent"), "component", F.when(F.col("top"), F.col("anc")).otherwise(F.col("cycle_low")).alias("root"), F.when(F.col("top"), F.col("d")).otherwise(-1).cast("int").alias("depth"), F.lit(None).cast("int").alias("pre"), F.lit(None).cast("int").alias("below"), F.col("state").cast("int").alias("state"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), "n")
+    out = out.select("id", F.col("link").alias("parent"), "component", F.when(F.col("top"), F.col("anc")).otherwise(F.col("cycle_low")).alias("root"), F.when(F.col("top"), F.col("d")).otherwise(-1).cast("int").alias("depth"), F.col("state").cast("int").alias("state"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), "n")
     out = scratch.save(out, "doubled")
+    if positions:
+        out = out.join(_positions(out, scratch), "id", "left")
+    else:
+        out = out.withColumns({"pre": F.lit(None).cast("int"), "below": F.lit(None).cast("int")})
     trees = out.groupBy("root").agg(F.sum("n").alias("tree_rows"), F.max(F.when(F.col("id") == F.col("root"), F.col("state"))).alias("root_state"))
     return out.drop("n").join(trees, "root").select(*(c.split()[0] for c in COLUMNS.split(", ")))
 
 
+def _positions(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, pre, below) as walk() gives them, of all nodes that are not on a cycle, by doubling.
+
+    Without the nodes of cycles the rest is a forest. After k rounds a node has counted what is less
+    than 2^k links below it. A node's position is the sum, over the nodes from its top down to
+    itself, of what stands before each under its parent; that is doubled the same way.
+    """
+    ring = nodes.where("on_cycle").select(F.col("id").alias("parent"), F.lit(True).alias("ring"))
+    tree = nodes.where("not on_cycle").join(ring, "parent", "left")
+    tree = scratch.save(tree.select("id", "root", F.when((F.col("state") == PRESENT) & F.col("ring").isNull(), F.col("parent")).alias("anc")), "forest")
+
+    def climb(now: DataFrame, step) -> DataFrame:
+        while now.where("anc is not null").limit(1).count():
+            old, now = now, scratch.save(step(now), "climb")
+            scratch.drop(old)
+        return now
+
+    def count(now: DataFrame) -> DataFrame:
+        more = now.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
+        up = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
+        return now.join(more, "id", "left").join(up, "anc", "left").select("id", F.col("anc2").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+    def add(now: DataFrame) -> DataFrame:
+        up = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("pre2"))
+        return now.join(up, "anc", "left").select("id", F.col("anc2").alias("anc"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"))
+
+    size = climb(scratch.save(tree.select("id", "anc", F.lit(1).cast("long").alias("size")), "sizes"), count).select("id", "size")
+    # siblings stand in the order of their ids, and so do the tops of the trees that hang off one cycle
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("anc", "above").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tree = tree.join(size, "id").withColumn("above", F.when(F.col("anc").isNull(), F.col("root")))
+    pre = climb(scratch.save(tree.select("id", "anc", (before + F.when(F.col("anc").isNull(), 0).otherwise(1)).alias("pre")), "offsets"), add)
+    return scratch.save(pre.join(size, "id").select("id", F.col("pre").cast("int").alias("pre"), (F.col("size") - 1).cast("int").alias("below")), "positions")
+
+
 def split_by_size(comp: DataFrame, co_locate_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of components that fit one task, and the rest, or None where there is no rest."""
     large = comp.groupBy("component").count().where(F.col("count") > co_locate_rows).select("component")
@@ -198,8 +231,8 @@ def hierarchy(rows: DataFrame, scratch: Scratch | None = None, id_col: str = "tw
 
     A node's parent is the non-null parent among its rows. A root has no parent, or one that is
     absent (state 2); root_state is that of its root, tree_rows counts the rows under that root. Descendants of a node are the nodes of the same root whose `pre` lies in
-    (pre, pre + below]; pre and below are null on and under cycles, and in components above
-    co_locate_rows rows. On a cycle, or below one, depth is -1 and root the smallest id of the
+    (pre, pre + below], at any size of the component; pre and below are null only on a cycle, all
+    of whose nodes are below each other. On a cycle, or below one, depth is -1 and root the smallest id of the
     cycle. An empty table gives an empty result; other columns of rows are not read.
     """
     scratch = scratch or Scratch(rows.sparkSession, "hierarchy")
@@ -224,7 +257,7 @@ def paths(rows: DataFrame, scratch: Scratch | None = None, id_col: str = "tweet_
     out = fits.repartition("component").mapInArrow(_paths, "id long, path array<long>")
     if large is None:
         return out
-    flat = scratch.save(_doubled(large, scratch), "flat")
+    flat = scratch.save(_doubled(large, scratch, False), "flat")
     level = flat.where("depth = 0").select("id", F.array("id").alias("path"))
     found, depth = [scratch.save(level, "level")], 0
     while found[-1].limit(1).count():

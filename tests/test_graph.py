@@ -1,5 +1,7 @@
 """Components and hierarchies against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -64,6 +66,25 @@ def test_walk_matches_brute_force(up):
             assert inside == {j for j in range(20) if j != i and i in chain(up, j)}
 
 
+@given(st.lists(st.integers(-1, 11), min_size=12, max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_walk_numbers_trees_under_cycles(up):
+    root, _, pre, below, ring, _ = walk(np.arange(12), np.array(up))
+    for i in range(12):
+        assert (pre[i] < 0) == ring[i]
+        if not ring[i]:
+            inside = {j for j in range(12) if root[j] == root[i] and pre[i] < pre[j] <= pre[i] + below[i]}
+            assert inside == {j for j in range(12) if j != i and i in chain(up, j)}
+
+
+def test_positions_do_not_depend_on_the_limit(spark):
+    rng = random.Random(7)
+    rows = [*ROWS, *[(i, rng.choice([i - 1, rng.randrange(20, i)])) for i in range(21, 90)], (20, 24), (91, 20), (92, 91), (93, 91), (94, 92), (95, None), *[(i, rng.randrange(95, i)) for i in range(96, 150)]]
+    df = spark.createDataFrame(rows, TWCS)
+    one, two = ({r["id"]: (r["root"], r["pre"], r["below"]) for r in hierarchy(df, co_locate_rows=limit).collect()} for limit in (1_000_000, 2))
+    assert one == two and {i for i, x in two.items() if x[1] is None} >= {6, 7, 9, 20, 24} and two[91][2] == 3 and two[8][1:] == (0, 0) and two[1][2] == 3
+
+
 def chain(up, j):
     seen = []
     while j >= 0 and j not in seen:
