@@ -68,6 +68,16 @@ def test_private_found_searches_every_row(spark):
     assert {tuple(r) for r in private.found(private.records(t, g)).collect()} == {("twcs", 1, "id_number"), ("golden", 5, "person_name")}
 
 
+MISSED = ["thanks to Zoe Smithson for help", "I live at 12 Saint-Denis Avenue now", "I live at 12  Fern\u00a0Hollow\nRoad now", "passport ABCDEF1", "Ausweisnummer L01X00T47", "12 Élysée Street please", "nothing here", "", None]
+
+
+def test_private_found_equals_detect_on_every_text(spark):
+    rows = spark.createDataFrame(list(enumerate(MISSED)), "record_id long, text string").withColumn("src", F.lit("twcs"))
+    want = {(i, k) for i, t in enumerate(MISSED) for _, _, k in private.detect(t)}
+    assert {(r["record_id"], r["pii_type"]) for r in private.found(rows).collect()} == want
+    assert {i for i, _ in want} == {0, 1, 2, 3, 4, 5}
+
+
 def test_long_text_is_searched_whole():
     assert [k for _, _, k in private.detect("word " * 20000 + "jo@mail.example")] == ["email"]
 
