@@ -155,7 +155,7 @@ for _rx, _tok in T.ENTITY_SHAPES:
 
 @query(f"SELECT tweet_id, trim(regexp_replace({_MASK}, '\\s+', ' ', 'g')) AS masked FROM twcs WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x20-\\x7e]*')")
 def mask_plain_shapes(spark, sf_dir):
-    """The shapes RE2 can express, on plain ASCII texts: all but booking references."""
+    """The shapes RE2 can express, on plain ASCII texts: all but booking references. mask_shapes has all texts."""
     t = F.col("text")
     for rx, tok in T.ENTITY_SHAPES:
         if tok != "ref":
@@ -163,6 +163,16 @@ def mask_plain_shapes(spark, sf_dir):
     return table(spark, sf_dir, "twcs").where(F.col("text").rlike(r"\A[\x20-\x7e]*\z")).select("tweet_id", F.trim(F.regexp_replace(t, r"\s+", " ")).alias("masked"))
 
 
+@query()
+def mask_shapes(spark, sf_dir):
+    """The shapes of mask_plain_shapes on every text, whatever its characters; a null text stays null."""
+    t = F.col("text")
+    for rx, tok in T.ENTITY_SHAPES:
+        if tok != "ref":
+            t = F.regexp_replace(t, "(?U)" + rx, f" <{tok}> ")
+    return table(spark, sf_dir, "twcs").select("tweet_id", F.trim(F.regexp_replace(t, r"(?U)\s+", " ")).alias("masked"))
+
+
 @query("SELECT qid, rank, regexp_matches(regexp_replace(reply, '^\\s*(?:<user>\\s*)+', ''), '<(?:user|url|email|flight|ref|phone|num)>') AS placeholder FROM hits")
 def placeholder_flag(spark, sf_dir):
     return table(spark, sf_dir, "hits").select("qid", "rank", T.has_placeholder(F.col("reply")).alias("placeholder"))
@@ -185,9 +195,16 @@ def cell_truncation(spark, sf_dir):
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n_tokens FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7f]*')")
 def token_counts(spark, sf_dir):
+    """The part of token_counts_unicode that SQL counts alike: documents of plain ASCII text."""
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.size(T.tokens(F.col("text"), False)).cast("bigint").alias("n_tokens"))
 
 
+@query()
+def token_counts_unicode(spark, sf_dir):
+    """Tokens of every document, of letters and digits of any script; null for a null text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(T.tokens(F.col("text"))).cast("bigint")).alias("n_tokens"))
+
+
 @query("SELECT ('0x' || substr(sha256('20250911:golden'), 1, 8))::BIGINT AS seed, id FROM taxonomy")
 def sub_seed(spark, sf_dir):
     return table(spark, sf_dir, "taxonomy").select(seed_for("golden").alias("seed"), "id")

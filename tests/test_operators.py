@@ -118,6 +118,14 @@ def test_replay(spark):
     assert [r["ok"] for r in s] == [False, True]
 
 
+def test_whole_tables_are_counted_and_masked(spark, tmp_path):
+    spark.createDataFrame([(1, "Où est mon café n°5 ?"), (2, "plain text"), (3, "荷物 が"), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "café\u00a0😀\nsee https://a.example/x"), (2, "mail jo@mail.example"), (3, None), (4, "é123 niño@mail.example")], "tweet_id long, text string").write.parquet(f"{tmp_path}/twcs.parquet")
+    q = entry.queries()
+    assert {tuple(r) for r in q["token_counts_unicode"](spark, str(tmp_path)).collect()} == {(1, 6), (2, 2), (3, 2), (4, None), (5, 0)}
+    assert {tuple(r) for r in q["mask_shapes"](spark, str(tmp_path)).collect()} == {(1, "café 😀 see <url>"), (2, "mail <email>"), (3, None), (4, "é123 <email>")}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
