@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import consolidate, conversations, encoding, garbled, languages, leakage, private, residue, splits
+from skein.session import Scratch
 
 TWCS = "tweet_id long, author_id string, inbound boolean, created_at string, text string, response_tweet_id string, in_response_to_tweet_id long"
 GOLDEN = "id long, text string, intent string, split string, thread_id long, brand_reply string"
@@ -68,6 +69,17 @@ def test_private_found_searches_every_row(spark):
     assert {tuple(r) for r in private.found(private.records(t, g)).collect()} == {("twcs", 1, "id_number"), ("golden", 5, "person_name")}
 
 
+@pytest.mark.parametrize("kind, values", [("person_name", [f"Zoe {b.title()}{c}" for b in private.GIVEN["f"] if b != "zoe" for c in ("", " Noor", " Ines")]), ("id_number", [f"A{i:02d}" for i in range(0, 100)] + [f"B{i:02d}" for i in range(100)]), ("phone", [f"+44 {i:02d} ext 1" for i in range(60)]), ("person_name", ["Mr Prof", "Dr Mr Sig", *[f"Zoe {b}" for b in private.GIVEN["m"]]])])
+def test_surrogates_are_distinct_when_the_draws_run_out(spark, kind, values):
+    rows = list({private.canonical(kind, v): v for v in values}.items())
+    ents = spark.createDataFrame([(kind, e, v) for e, v in rows], "pii_type string, entity string, value string")
+    got = private.draws(ents, b"k", Scratch(spark, "draws"), rounds=2).collect()
+    assert len(got) == len(rows) and any(r["draw"] >= private.DRAWS for r in got)
+    value = dict(rows)
+    made = [private.canonical(kind, private.surrogate(kind, value[r["entity"]], b"k", r["draw"])) for r in got]
+    assert len(set(made)) == len(rows) and not set(made) & set(value)
+
+
 MISSED = ["thanks to Zoe Smithson for help", "I live at 12 Saint-Denis Avenue now", "I live at 12  Fern\u00a0Hollow\nRoad now", "passport ABCDEF1", "Ausweisnummer L01X00T47", "12 Élysée Street please", "nothing here", "", None]
 
 
