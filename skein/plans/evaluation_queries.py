@@ -191,7 +191,7 @@ def posterior_signals(spark, sf_dir):
 
 @query()
 def bootstrap_accuracy(spark, sf_dir):
-    return E.bootstrap_accuracy(_preds(spark, sf_dir), 200)
+    return E.bootstrap_accuracy(_preds(spark, sf_dir), 2000)
 
 
 @query("""SELECT drafter, CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN regexp_matches(regexp_replace(text, '^\\s*(?:<user>\\s*)+', ''), '<(?:user|url|email|flight|ref|phone|num)>') THEN 'placeholder' ELSE 'valid' END AS validity, count(*) AS n,

@@ -160,7 +160,7 @@ def logistic_oof(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return C.kmeans_sweep(_labelled(spark, sf_dir), [5, 10])
+    return C.kmeans_sweep(_labelled(spark, sf_dir), [6, 8, 10, 12, 15, 20, 25, 30])
 
 
 @query("""SELECT reply, count(*) AS n, min(doc_id) AS first_doc FROM hits WHERE reply IS NOT NULL AND reply <> '' GROUP BY reply HAVING count(*) > 1""")

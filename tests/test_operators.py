@@ -118,6 +118,12 @@ def test_replay(spark):
     assert [r["ok"] for r in s] == [False, True]
 
 
+def test_sweep_and_bootstrap_are_as_large_as_the_reference(spark):
+    q = entry.queries()
+    assert [r["k"] for r in q["kmeans_sweep"](spark, SF).collect()] == [6, 8, 10, 12, 15, 20, 25, 30]
+    assert q["bootstrap_accuracy"](spark, SF).first()["draws"] == 2000
+
+
 def test_whole_tables_are_counted_and_masked(spark, tmp_path):
     spark.createDataFrame([(1, "Où est mon café n°5 ?"), (2, "plain text"), (3, "荷物 が"), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "café\u00a0😀\nsee https://a.example/x"), (2, "mail jo@mail.example"), (3, None), (4, "é123 niño@mail.example")], "tweet_id long, text string").write.parquet(f"{tmp_path}/twcs.parquet")
