@@ -239,6 +239,18 @@ def test_residue_model_and_edges(spark):
     assert residue.residue(residue.records(drafts.limit(0), hits.limit(0))).count() == 0 and d_text
 
 
+def test_residue_at_the_end_of_a_long_text_is_scored():
+    rng = random.Random(4)
+    good = [(f"we are looking into it and will tell you soon {rng.choice('abc')}", 0, False) for _ in range(200)]
+    bad = [(f"{rng.choice(['gizmo', 'wotsit', 'doodad'])} {rng.choice(['fribble', 'grommet'])} unhandled kaput", 1, False) for _ in range(60)]
+    model = residue.fit(good + bad)
+    head = "we are looking into it and will tell you soon " * 1000
+    tail = "gizmo fribble unhandled kaput wotsit grommet unhandled kaput " * 40
+    assert not residue.slots(head + tail, False) and not any(rx.search(head + tail) for rx in residue.WEAK.values())
+    assert model.of(head, False) < residue.THRESHOLD <= model.of(head + tail, False)
+    assert len(residue.windows("few words", False)) == 1 and len(residue.windows("word " * 450, False)) == 4 and len(residue.windows("word " * 450, False, None)) == 1
+
+
 # ---- 7
 
 
