@@ -20,7 +20,6 @@ from skein.session import spread
 
 #: The legacy encodings text is read in by mistake, in order of preference.
 CODECS = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850", "cp1250", "iso8859_15")
-ROUNDS = 4
 LOST = "�"
 
 
@@ -158,15 +157,13 @@ def examine(text: str | None) -> tuple[bool, str | None, bool]:
     if not text:
         return False, text, True
     now, lost, garbled = text, LOST in text, False
-    for _ in range(ROUNDS):
-        new = restore_once(now)
-        if new is None:
-            break
+    while (new := restore_once(now)) is not None:  # each round shortens the text, so it ends
         now, garbled = new, True
     if CUT.search(now):
         garbled = lost = True
     if C1.search(now):
         now, garbled = "".join(SLOPPY.get(c, c) for c in now), True
+        lost = lost or restore_once(now) is not None  # what now looks garbled was not restored
     return garbled or lost, now, not (lost or LOST in now)
 
 

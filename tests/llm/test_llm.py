@@ -350,6 +350,13 @@ def test_garbled_round_trip(codec):
         assert garbled.examine(twice)[1] == text
 
 
+def test_garbled_many_times_is_restored():
+    text = bad = "El niño pidió café en Zürich"
+    for _ in range(6):
+        bad = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in bad.encode())
+    assert garbled.examine(bad) == (True, text, True)
+
+
 @pytest.mark.parametrize("text", ["", None, "plain", "été à Âgés NÃO ATENÇÃO AMANHÃ É»", "½ × µ § © ® ™ °C £5 €4", "Где мой багаж? Вітаю Гёте", "荷物がまだ 我的行李 أين حقيبتي؟ Γεια σας", "“été” — l’été … «à»", "à́̂ 👩‍✈️ ██▒ ├── └──", "a​‍﻿b"])
 def test_right_characters_are_no_case(text):
     assert garbled.examine(text) == (False, text, True)
