@@ -69,6 +69,17 @@ def test_private_found_searches_every_row(spark):
     assert {tuple(r) for r in private.found(private.records(t, g)).collect()} == {("twcs", 1, "id_number"), ("golden", 5, "person_name")}
 
 
+@pytest.mark.parametrize("text, name", [("John Miller lost my case", "John Miller"), ("ask maria gonzalez", "maria gonzalez"), ("for Miller, John please", "Miller, John"), ("sono Paolo R. Rossi", "Paolo R. Rossi"), ("ich, Jürgen Müller", "Jürgen Müller")])
+def test_common_names_are_found(text, name):
+    assert [text[a:b] for a, b, k in private.detect(text) if k == "person_name"] == [name]
+    assert private.surrogate("person_name", name, b"k").lower() != name.lower()
+
+
+@pytest.mark.parametrize("text", ["the price is white and green", "John said so", "a long walk to Martin Place", "mark my words"])
+def test_common_words_are_no_names(text):
+    assert not [k for _, _, k in private.detect(text) if k == "person_name"]
+
+
 @pytest.mark.parametrize("kind, values", [("person_name", [f"Zoe {b.title()}{c}" for b in private.GIVEN["f"] if b != "zoe" for c in ("", " Noor", " Ines")]), ("id_number", [f"A{i:02d}" for i in range(0, 100)] + [f"B{i:02d}" for i in range(100)]), ("phone", [f"+44 {i:02d} ext 1" for i in range(60)]), ("person_name", ["Mr Prof", "Dr Mr Sig", *[f"Zoe {b}" for b in private.GIVEN["m"]]])])
 def test_surrogates_are_distinct_when_the_draws_run_out(spark, kind, values):
     rows = list({private.canonical(kind, v): v for v in values}.items())
