@@ -3,8 +3,8 @@
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows,
 twice: rows on which the first model firmly disagrees with the label are left out of the second
 fit. Words are scored by their subwords; a Viterbi pass over the words finds segments in other
-languages. Confidence is the softmax after a temperature fitted on held-out rows, and texts below
-the rejection threshold are `und`.
+languages. Confidence is the softmax after a temperature fitted on held-out rows, and what is below
+the rejection threshold, the least confidence at which held-out texts were still right, is `und`.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from skein.session import spread
 
-LANGS = ("en", "es", "fr", "de", "pt", "it")
+LANGS = ("en", "es", "fr", "de", "pt", "it")  # what is told apart unless a caller names others
 SAMPLE_ROWS = 12_000  # labelled rows a model is fitted on, all languages together
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, (8, 10), 128, 1.0
+BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, (8, 10), 128, 0.25  # at higher rates one fit in ten ran astray
 STEPS = 400  # a small sample is gone through more often, up to 60 times
 KNOWN = 5  # a word seen less often in the sample, such as a name, counts for UNKNOWN of its score
 UNKNOWN = 0.25
-KEEP_ERROR = 0.02  # the share of accepted held-out texts that may be wrong
+TEMPERATURES = 2.0 ** np.arange(-6, 5, 0.125)
+KEEP_ERROR, MARGIN = 0.02, 0.25  # the share of accepted held-out texts that may be wrong
 SWITCH = 7.0  # cost of a change of language between two words, in nats
 FLOOR = 3.0  # a word counts against a language with this much at most
 SEGMENT_WORDS, SEGMENT_CHARS = 3, 12  # whole clauses, not names or single words
@@ -62,8 +63,8 @@ def subwords(word: str) -> np.ndarray:
 class Model:
     """Word scores: the mean over a word's subwords of embedding times output weights."""
 
-    def __init__(self, table: np.ndarray, bias: np.ndarray, temperature: float, reject: float, known: frozenset = frozenset()):
-        self.known = known
+    def __init__(self, table: np.ndarray, bias: np.ndarray, temperature: float, reject: float, known: frozenset = frozenset(), langs: tuple = LANGS):
+        self.known, self.langs = known, langs
         self.table, self.bias, self.temperature, self.reject = table, bias, temperature, reject
         self.cache: dict[str, tuple] = {}
 
@@ -93,11 +94,11 @@ class Model:
         p = self.chances(sum(g[0] for g in got), sum(g[1] for g in got))
         main = int(p.argmax())
         if sum(g[2][main] for g in got) <= SWITCH or len(ws) < 2 * SEGMENT_WORDS:
-            return [(" ".join(ws), LANGS[main], float(p[main]))]
+            return [(" ".join(ws), self.langs[main], float(p[main]))]
         return self._cut(ws, got)
 
     def _cut(self, ws: list[str], got: list[tuple]) -> list[tuple[str, str, float]]:
-        k = len(LANGS)
+        k = len(self.langs)
         cost, back = list(got[0][2]), []
         for g in got[1:]:
             low = min(range(k), key=cost.__getitem__)
@@ -134,11 +135,11 @@ class Model:
         out = []
         for a, b, l in runs:
             p = self.chances(sum(g[0] for g in got[a:b]), sum(g[1] for g in got[a:b]))
-            out.append((" ".join(ws[a:b]), LANGS[l], float(p[l])))
+            out.append((" ".join(ws[a:b]), self.langs[l], float(p[l])))
         return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int, balanced: bool, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(texts: list[str], labels: list[int], n_langs: int, epochs: int, balanced: bool, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and bias by SGD on the mean embedding of each text's subwords."""
     rng = np.random.default_rng(seed)
     cache: dict[str, np.ndarray] = {}
@@ -149,9 +150,9 @@ def fit(texts: list[str], labels: list[int], epochs: int, balanced: bool, seed:
     keep = [i for i, b in enumerate(bags) if len(b)]
     bags, y = [bags[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    out, bias = np.zeros((DIM, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32)
+    out, bias = np.zeros((DIM, n_langs), np.float32), np.zeros(n_langs, np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
-    weight = len(y) / (len(LANGS) * np.maximum(np.bincount(y, minlength=len(LANGS)), 1))
+    weight = len(y) / (n_langs * np.maximum(np.bincount(y, minlength=n_langs), 1))
     weight = np.minimum(weight ** (1.0 if balanced else 0.5), 8).astype(np.float32)
     epochs = max(epochs, min(60, STEPS * BATCH // max(len(y), 1)))
     for epoch in range(epochs):
@@ -177,79 +178,101 @@ def fit(texts: list[str], labels: list[int], epochs: int, balanced: bool, seed:
     return emb, out, bias
 
 
-def train(texts: list[str], labels: list[str]) -> Model:
+def temperature(z: np.ndarray, t: np.ndarray) -> float:
+    """The temperature with the least log loss on held-out scores z and classes t.
+
+    Targets are smoothed as for Platt scaling, by one row in n + 2 of them, so that rows without an
+    error do not drive it to nought.
+    """
+    n, k = z.shape
+    want = np.full((n, k), 1 / (n + 2) / max(k - 1, 1))
+    want[np.arange(n), t] = (n + 1) / (n + 2)
+
+    def loss(temp: float) -> float:
+        q = z / temp
+        q = q - q.max(1, keepdims=True)
+        return float(-(want * (q - np.log(np.exp(q).sum(1, keepdims=True)))).sum(1).mean())
+
+    return float(min(TEMPERATURES, key=loss))
+
+
+def threshold(p: np.ndarray, right: np.ndarray) -> float:
+    """The least confidence of texts that are kept: at MARGIN of the odds of the held-out text down
+    to which at most KEEP_ERROR are wrong. Few texts are held out, and others lie a little below."""
+    order = np.argsort(-p, kind="stable")
+    wrong = np.cumsum(~right[order]) / np.arange(1, len(p) + 1)
+    fine = np.flatnonzero(wrong <= KEEP_ERROR)
+    if not len(fine):
+        return 1.0
+    low = float(p[order][fine[-1]])
+    return MARGIN * low / (1 - low + MARGIN * low)
+
+
+def train(texts: list[str], labels: list[str], langs: tuple = LANGS) -> Model:
     """A model of labelled texts; labels may be wrong now and then. Needs at least one row."""
-    y = [LANGS.index(l) for l in labels]
+    y = [langs.index(l) for l in labels]
     held = np.array([zlib.crc32(t.encode()) % 10 == 0 for t in texts], bool)
     if held.all() or not held.any():
         held[:] = False
     fit_at = [i for i in range(len(texts)) if not held[i]]
     # fully balanced, the rows of a large language wrongly labelled as a small one would weigh too much
-    emb, out, bias = fit([texts[i] for i in fit_at], [y[i] for i in fit_at], EPOCHS[0], False)
+    emb, out, bias = fit([texts[i] for i in fit_at], [y[i] for i in fit_at], len(langs), EPOCHS[0], False)
     counts: dict[str, int] = {}
     for i in fit_at:
         for w in set(words(texts[i])):
             counts[w] = counts.get(w, 0) + 1
     known = frozenset(w for w, n in counts.items() if n >= min(KNOWN, 1 + len(fit_at) // 500))
-    first = Model(emb @ out, bias, 1.0, 0.0, known)
+    first = Model(emb @ out, bias, 1.0, 0.0, known, langs)
 
     def firmly_other(i: int) -> bool:
         segs = first.segments(texts[i])
-        return len(segs) > 1 or bool(segs) and segs[0][1] != LANGS[y[i]] and segs[0][2] > 0.6
+        return len(segs) > 1 or bool(segs) and segs[0][1] != langs[y[i]] and segs[0][2] > 0.6
 
     good = [i for i in fit_at if not firmly_other(i)]
     if len({y[i] for i in good}) == len({y[i] for i in fit_at}):
-        emb, out, bias = fit([texts[i] for i in good], [y[i] for i in good], EPOCHS[1], True)
-    model = Model(emb @ out, bias, 1.0, 0.0, known)
+        emb, out, bias = fit([texts[i] for i in good], [y[i] for i in good], len(langs), EPOCHS[1], True)
+    model = Model(emb @ out, bias, 1.0, 0.0, known, langs)
     scored = []
     for i in np.flatnonzero(held):
         ws = [model.word(w) for w in words(texts[i])]
         if ws and length(texts[i]) >= MIN_CHARS and not firmly_other(i):
             scored.append((sum(g[0] for g in ws) / sum(g[1] for g in ws) + bias, y[i]))
     if len(scored) >= 50:
-        z, t = np.array([s[0] for s in scored]), np.array([s[1] for s in scored])
-
-        def loss(temp: float) -> float:
-            q = z / temp
-            q = q - q.max(1, keepdims=True)
-            return float(-(q[np.arange(len(t)), t] - np.log(np.exp(q).sum(1))).mean())
-
-        model.temperature = min((2.0**k for k in np.arange(-3, 4, 0.25)), key=loss)
+        z, t = np.array([s[0] for s in scored], np.float64), np.array([s[1] for s in scored])
+        model.temperature = temperature(z, t)
         p = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
         p /= p.sum(1, keepdims=True)
-        order = np.argsort(-p.max(1))
-        wrong = np.cumsum(p.argmax(1)[order] != t[order]) / np.arange(1, len(t) + 1)
-        fine = np.flatnonzero(wrong <= KEEP_ERROR)
-        model.reject = min(0.5, float(p.max(1)[order][fine[-1]])) if len(fine) else 0.5
+        model.reject = threshold(p.max(1), p.argmax(1) == t)
     return model
 
 
-def sample(texts: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About `rows` labelled texts, chosen by hash of the id, and never more than twice as many."""
-    known = texts.where(F.col("label").isin(*LANGS) & F.col("text").isNotNull())
+def sample(texts: DataFrame, rows: int = SAMPLE_ROWS, langs: tuple = LANGS) -> DataFrame:
+    """Up to `rows` labelled texts, those of the smallest hashes, in their order: the same in any partitioning."""
+    known = texts.where(F.col("label").isin(*langs) & F.col("text").isNotNull())
     n = known.count()
-    unit = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.where(unit < min(1.0, rows / max(n, 1))).limit(2 * rows).select("text", "label")
+    unit = F.pmod(F.xxhash64("id", "text", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = known.withColumn("unit", unit).where(F.col("unit") < min(1.0, 1.2 * rows / max(n, 1)))
+    return some.orderBy("unit", "id", "text", "label").limit(rows).select("text", "label")
 
 
-def fitted(texts: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
+def fitted(texts: DataFrame, rows: int = SAMPLE_ROWS, langs: tuple = LANGS) -> Model | None:
     """A model fitted on a bounded sample of (id, text, label), or None where nothing is labelled."""
-    got = sample(texts, rows).collect()
-    return train([r["text"] for r in got], [r["label"] for r in got]) if got else None
+    got = sample(texts, rows, langs).collect()
+    return train([r["text"] for r in got], [r["label"] for r in got], langs) if got else None
 
 
 SEGMENTS = "id long, label string, seq int, segment string, lang string, confidence double, n_segments int"
 
 
-def segmenter(table, bias, temperature, reject, known):
+def segmenter(*parts):
     def run(batches):
-        model = Model(table, bias, temperature, reject, known)
+        model = Model(*parts)
         for b in batches:
             rows = []
             for i, t, l in zip(*(b.column(c).to_pylist() for c in ("id", "text", "label"))):
-                if t is None or length(t) < MIN_CHARS:
-                    continue
-                segs = model.segments(t)
+                segs = model.segments(t) if t and length(t) >= MIN_CHARS else []
+                if not segs:
+                    rows.append((i, l, 0, "", "und", 0.0, 0))
                 n = len({s[1] for s in segs})
                 rows += [(i, l, k, s, g if c >= model.reject else "und", c, n) for k, (s, g, c) in enumerate(segs)]
             cols = list(zip(*rows)) if rows else [[]] * 7
@@ -262,14 +285,15 @@ def segmenter(table, bias, temperature, reject, known):
 def segments(texts: DataFrame, model: Model | None = None) -> DataFrame:
     """Segments (id, label, seq, segment, lang, confidence, n_segments) of (id, text, label).
 
-    n_segments counts the text's languages. Null texts and texts of fewer than MIN_CHARS characters
-    without handles and links give no rows; a text no language is sure of is `und`. Repeated rows
-    give repeated segments; an empty table, or one without any label, gives none.
+    n_segments counts the text's languages. A null text, one without words and one of fewer than
+    MIN_CHARS characters without handles and links give one empty segment in `und` of confidence 0;
+    a segment no language is sure of is `und` too. Repeated rows give repeated segments; an empty
+    table, or one without any label, gives none.
     """
     model = model or fitted(texts)
     if model is None:
         return texts.sparkSession.createDataFrame([], SEGMENTS)
-    return spread(texts).mapInArrow(segmenter(model.table, model.bias, model.temperature, model.reject, model.known), SEGMENTS)
+    return spread(texts).mapInArrow(segmenter(model.table, model.bias, model.temperature, model.reject, model.known, model.langs), SEGMENTS)
 
 
 def exchange_texts(exchanges: DataFrame) -> DataFrame:

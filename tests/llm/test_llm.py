@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,14 +175,41 @@ def test_languages(spark):
 
 
 def test_language_rejection_is_calibrated():
-    rows = language_rows(200)
-    m = languages.train([r[1] for r in rows], [r[2] for r in rows])
-    assert 0 < m.temperature and m.reject <= 0.5
+    rng = random.Random(3)
+    rows = [(t, l if rng.random() > 0.1 else rng.choice(languages.LANGS)) for _, t, l in language_rows(200)]
+    m = languages.train([r[0] for r in rows], [r[1] for r in rows])
+    assert languages.TEMPERATURES[0] < m.temperature < languages.TEMPERATURES[-1]
     (seg,) = m.segments("nadie responde en ese teléfono desde ayer")
-    assert seg[1] == "es" and seg[2] > 0.8
+    assert seg[1] == "es" and seg[2] > 0.8 and seg[2] > m.reject
     assert m.segments("") == [] and m.segments("@a https://t.example/x 123") == []
 
 
+def test_language_threshold_and_temperature():
+    p, right = np.linspace(1, 0.2, 100), np.ones(100, bool)
+    kept = lambda low: pytest.approx(low * 0.25 / (1 - low + low * 0.25))
+    assert languages.threshold(p, right) == kept(0.2)
+    right[50:] = False
+    assert languages.threshold(p, right) == kept(p[50])  # one wrong in 51 is within two in a hundred, two in 52 are not
+    assert languages.threshold(p, np.zeros(100, bool)) == 1.0
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 3, (20000, 4))
+    q = np.exp(z / 2.0)
+    t = np.array([rng.choice(4, p=r) for r in q / q.sum(1, keepdims=True)])
+    assert 1.8 < languages.temperature(z, t) < 2.2
+
+
+def test_language_sample_ignores_partitions(spark):
+    texts = spark.createDataFrame([(i, t, l) for i, t, l in language_rows(100)] + [(1, "same text here", "en")] * 300, "id long, text string, label string")
+    got = [languages.sample(texts.repartition(n), 150).collect() for n in (2, 5, 16)]
+    assert got[0] == got[1] == got[2] and 50 < len(got[0]) <= 150
+
+
+def test_language_segments_of_texts_without_words(spark):
+    texts = spark.createDataFrame([(i, t, l) for i, t, l in language_rows(20)] + [(-1, None, "en"), (-2, "", None), (-3, "ok", "en"), (-4, "@a https://t.example/x", "en")], "id long, text string, label string")
+    got = {r["id"]: (r["lang"], r["confidence"], r["n_segments"]) for r in languages.segments(texts).where("id < 0").collect()}
+    assert all(got[i] == ("und", 0.0, 0) for i in (-1, -2, -3, -4))
+
+
 # ---- 5
 
 
