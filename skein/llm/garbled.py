@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +46,56 @@ def _class(codec: str, lo: int, hi: int) -> str:
     return "[" + "".join(re.escape(ch) for ch, b in BYTES[codec].items() if lo <= b <= hi) + "]"
 
 
-def java_candidates() -> str:
-    """A pattern, for Java and Python alike, of any text that could be garbled: a lead and a trail char."""
-    esc = lambda lo, hi, c: "[" + "".join(f"\\u{ord(ch):04x}" for ch, b in BYTES[c].items() if lo <= b <= hi) + "]"
-    pairs = "|".join(esc(0xC2, 0xF4, c) + esc(0x80, 0xBF, c) for c in CODECS)
-    return pairs + "|[\\u0080-\\u009f\\ufffd]|[\\u00c2\\u00c3](?![\\u00c0-\\u024fA-Za-z])"
+N = len(CODECS)
+LEADS, BARE, LETTER, SURE = (1 << N) - 1, 1 << 2 * N, 1 << 2 * N + 1, 1 << 2 * N + 2
+
+
+def _classes() -> np.ndarray:
+    """Bits of each character: a lead in codec k (bit k), a trail in it (bit N + k), a mark of garbling by itself."""
+    out = np.zeros(0x110000, np.uint32)
+    for k, table in enumerate(BYTES.values()):
+        for ch, b in table.items():
+            out[ord(ch)] |= 1 << k if 0xC2 <= b <= 0xF4 else 1 << N + k if b <= 0xBF else 0
+    out[[0xC2, 0xC3]] |= BARE
+    for lo, hi in ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)):
+        out[lo : hi + 1] |= LETTER
+    out[0x80:0xA0] |= SURE
+    out[0xFFFD] |= SURE
+    return out
+
+
+CLASSES = _classes()
+CHUNK = 1 << 20  # characters that are classified at once; a longer text is a chunk of its own
+
+
+def candidates(texts: list[str | None]) -> list[int]:
+    """Places of the texts that could be garbled: a lead stands before a trail of its codec, or a mark stands alone.
+
+    All others are clean by examine(). Whole chunks of texts are classified by one table lookup.
+    """
+    out: list[int] = []
+
+    def flush(at: list[int]) -> None:
+        if not at:
+            return
+        code = np.frombuffer("\n".join([*(texts[i] for i in at), ""]).encode("utf-32-le"), np.uint32)
+        kind = CLASSES[code]
+        first, then = kind[:-1], kind[1:]
+        hit = (first & SURE) | (first & (then >> N) & LEADS) | ((first & BARE) & ~((then & LETTER) >> 1))
+        ends = np.cumsum([len(texts[i]) + 1 for i in at])
+        out.extend(at[k] for k in np.unique(np.searchsorted(ends, np.flatnonzero(hit), "right")))
+
+    some, size = [], 0
+    for i, t in enumerate(texts):
+        if not t or t.isascii():
+            continue
+        if size + len(t) > CHUNK:
+            flush(some)
+            some, size = [], 0
+        some.append(i)
+        size += len(t)
+    flush(some)
+    return out
 
 
 STARTS = {c: re.compile(_class(c, 0xC2, 0xF4) + _class(c, 0x80, 0xBF)) for c in CODECS}
@@ -170,7 +216,7 @@ def examine(text: str | None) -> tuple[bool, str | None, bool]:
 def _find(batches):
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-        got = [(i, *examine(t)) for i, t in zip(ids, texts)]
+        got = [(ids[k], *examine(texts[k])) for k in candidates(texts)]
         got = [g for g in got if g[1]]
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string()), pa.array([g[3] for g in got], pa.bool_())], names=["doc_id", "restored", "lossless"])
 
@@ -182,4 +228,4 @@ def garbled(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     row, an empty table gives none; repeated rows come out as often as they are in the input.
     """
     d = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].alias("text"))
-    return spread(d.where(F.col("text").rlike(java_candidates()))).mapInArrow(_find, "doc_id long, restored string, lossless boolean")
+    return spread(d.where(F.col("text") != "")).mapInArrow(_find, "doc_id long, restored string, lossless boolean")

@@ -407,3 +407,16 @@ def test_garbled_table(spark):
     got = sorted((r["doc_id"], r["lossless"]) for r in garbled.garbled(df).collect())
     assert got == [(1, True), (1, True), (5, True), (6, False)]
     assert garbled.garbled(df.limit(0)).count() == 0
+
+
+def test_garbled_candidates_hold_all_that_is_found():
+    rng = random.Random(4)
+    texts = [None, "", "plain", "Ã", "Â", "x Ã", "x Ãa", "\ufffd", "naïve café"]
+    for _ in range(3000):
+        t = "".join(rng.choice("aé “”à日я–ñß Ã±©€Â") for _ in range(rng.randint(1, 12)))
+        codec = rng.choice(garbled.CODECS)
+        raw = t.encode("utf-8")
+        texts += [t, raw.decode(codec, "replace"), raw.decode("latin-1")]
+    texts.append("ä" * (garbled.CHUNK + 5) + "Ã©")
+    found = {i for i, t in enumerate(texts) if garbled.examine(t)[0]}
+    assert found <= set(garbled.candidates(texts)) and len(texts) - 1 in found
