@@ -38,6 +38,11 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.scored(_replies(spark, sf_dir))
 
 
+def p6_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the model fares on hosts it has not seen, against their weak labels."""
+    return residue.validation(_replies(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(spark, f"{sf_dir}/twcs.parquet")
 
@@ -79,7 +84,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p6_found, p6_scores, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p6_found, p6_scores, p6_validation, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 SELECT thread_id FROM (
