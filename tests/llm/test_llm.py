@@ -366,7 +366,7 @@ def test_encoding_equals_public_library(spark):
 def test_leaks(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(80))) for i in range(20)] + [(90, None), (91, ""), (92, "two words")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(80))) for i in range(20)] + [(90, None), (91, ""), (92, "two words"), (93, "more or less three"), (0, "another text of item nought with some eight words")]
     docs, want = [], set()
     for d in range(200):
         w = [rng.choice(vocab) for _ in range(60)]
@@ -381,8 +381,8 @@ def test_leaks(spark):
                 passage[n // 2] = "changed"
             w[30:30] = [x.upper() + rng.choice(["", ",", "!\n"]) for x in passage]
         docs.append((d, " ".join(w)))
-    docs += [(900, None), (901, ""), (902, "two words"), (903, items[0][1]), (903, items[0][1]), (904, "x " * 50000 + items[1][1])]
-    want |= {(903, 0), (904, 1)}
+    docs += [(900, None), (901, ""), (902, "two words"), (903, items[0][1]), (903, items[0][1]), (904, "x " * 50000 + items[1][1]), (905, "it is MORE, or less\u00ad: three."), (906, "more or three"), (907, "so another text of item nought with some eight words")]
+    want |= {(903, 0), (904, 1), (902, 92), (905, 93), (907, 0)}
     dd = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("items", F.lit(2))
     ii = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(3))
     got = [tuple(r) for r in leakage.leaks(dd, ii).collect()]
@@ -390,6 +390,34 @@ def test_leaks(spark):
     assert leakage.leaks(dd.limit(0), ii).count() == 0 and leakage.leaks(dd, ii.limit(0)).count() == 0
 
 
+def test_leaks_without_broadcast_are_the_same(spark, monkeypatch):
+    w = [f"w{i}" for i in range(90)]
+    dd = spark.createDataFrame([(1, " ".join(w[20:70])), (2, " ".join(w[::-1])), (3, "one two")], "doc_id long, text string")
+    ii = spark.createDataFrame([(1, " ".join(w)), (2, "one two")], "item_id long, text string")
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in leakage.leaks(dd, ii).collect()} == {(1, 1), (3, 2)}
+
+
+def test_leak_positions_must_lie_in_one_window(spark):
+    w = [f"w{i}" for i in range(80)]
+    apart = " ".join(" ".join(w[k : k + 12]) + " filler" * 60 for k in range(0, 80, 12))  # all shingles but no passage
+    dd = spark.createDataFrame([(1, apart), (2, " ".join(w[:60]))], "doc_id long, text string")
+    got = {tuple(r) for r in leakage.leaks(dd, spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")).collect()}
+    assert got == {(2, 7)}
+
+
+def test_word_hashes_agree_with_words():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab é\u00ad\u200dÅA\u030a1٣_-\n𝒳語") for _ in range(rng.randrange(60))) for _ in range(300)]
+    of, hashes = leakage.word_hashes(texts)
+    words = [(i, w) for i, t in enumerate(texts) for w in leakage.split_words(t)]
+    assert of.tolist() == [i for i, _ in words]
+    by = {}
+    for (_, w), h in zip(words, hashes.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
 # ---- 10
 
 
