@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import consolidate, conversations, encoding, garbled, languages, leakage, private, residue, splits
 from skein.sources.tables import table
@@ -80,11 +81,17 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(table(spark, sf_dir, "golden"))[0]
 
 
+def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits where the rows of even ids come first, and the others meet the table of those."""
+    golden = table(spark, sf_dir, "golden")
+    return splits.in_batches(golden, F.col("id") % 2 == 0)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p6_found, p6_scores, p6_validation, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p5_batches, p6_found, p6_scores, p6_validation, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {
     "p5_found": """
 SELECT thread_id FROM (

@@ -19,7 +19,7 @@ SHARES = {"train": 0.70, "dev": 0.10, "test": 0.20}
 #: Components of at least this share of all rows are placed one by one, the largest first; there
 #: can be no more than its inverse of them. All others are placed by hash.
 LARGE = 0.005
-TABLE = "key long, component long, split string, quarantined boolean, rows long"
+TABLE = "key long, component long, split string, quarantined boolean, rows long, asked array<string>"
 
 
 def split_name(raw: Column) -> Column:
@@ -28,17 +28,22 @@ def split_name(raw: Column) -> Column:
     return F.when(s.isin("val", "valid", "validation", "dev"), "dev").when(s.isin("train", "test"), s)
 
 
-def keyed(golden: DataFrame) -> DataFrame:
+def keyed(golden: DataFrame, *more: str) -> DataFrame:
     """(record, thread, split): bigint keys, even ones for records and odd ones for threads.
 
     Rows without an id are dropped; a null thread leaves a record on its own.
     """
-    return golden.where("id is not null").select((F.col("id").cast("long") * 2).alias("record"), (F.col("thread_id").cast("long") * 2 + 1).alias("thread"), split_name(F.col("split")).alias("split"))
+    return golden.where("id is not null").select((F.col("id").cast("long") * 2).alias("record"), (F.col("thread_id").cast("long") * 2 + 1).alias("thread"), split_name(F.col("split")).alias("split"), *more)
 
 
-def torn(rows: DataFrame) -> DataFrame:
-    """(thread, splits) of threads whose rows name two or more splits; nulls do not count."""
-    return rows.where("thread is not null and split is not null").groupBy("thread").agg(F.sort_array(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
+def torn(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(thread, splits) of threads whose rows name two or more splits; nulls do not count.
+
+    Such threads lie in components of the table whose rows asked for several splits; only their
+    rows are looked at, for a component may join threads that are whole each.
+    """
+    several = table.where(F.size("asked") > 1).select(F.col("key").alias("thread"))
+    return rows.where("thread is not null and split is not null").join(several, "thread", "left_semi").groupBy("thread").agg(F.sort_array(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
 
 
 def _unit(key: Column, purpose: str) -> Column:
@@ -57,9 +62,9 @@ def _ladder(u: Column, shares: dict[str, float]) -> Column:
 
 
 def update(rows: DataFrame, table: DataFrame | None = None, shares: dict[str, float] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """The table (key, component, split, quarantined, rows) after a batch (record, thread, split).
+    """The table (key, component, split, quarantined, rows, asked) after a batch (record, thread, split).
 
-    rows counts a component's rows. Components of the table that have a split keep it. In the
+    rows counts a component's rows, asked holds the splits that they named. Components of the table that have a split keep it. In the
     batch, a split named by all rows of a component is kept as long as that split does not exceed
     its share; rows beyond it, rows without a split and torn components are assigned anew. Merges
     of components that held different splits get none and are quarantined. An empty batch returns
@@ -80,9 +85,9 @@ def update(rows: DataFrame, table: DataFrame | None = None, shares: dict[str, fl
     fresh = named.join(known, "key", "left_anti").select("key", F.col("label").alias("was"))
     all_keys = table.select("key", F.col("component").alias("was")).unionAll(fresh).join(to, "was", "left").select("key", "was", F.coalesce("now", "was").alias("component"))
     all_keys = scratch.save(all_keys, "keys")
-    old = table.select(F.col("component").alias("was"), "split", "quarantined", "rows").distinct()
-    relabelled = old.join(to, "was", "left").select(F.coalesce("now", "was").alias("component"), "split", "quarantined", "rows")
-    held = relabelled.groupBy("component").agg(F.collect_set("split").alias("held"), F.max("quarantined").alias("quarantined"), F.sum("rows").alias("had"))
+    old = table.select(F.col("component").alias("was"), "split", "quarantined", "rows", F.col("asked").alias("named_before")).distinct()
+    relabelled = old.join(to, "was", "left").select(F.coalesce("now", "was").alias("component"), "split", "quarantined", "rows", "named_before")
+    held = relabelled.groupBy("component").agg(F.collect_set("split").alias("held"), F.max("quarantined").alias("quarantined"), F.sum("rows").alias("had"), F.array_distinct(F.flatten(F.collect_list("named_before"))).alias("named_before"))
     at = all_keys.select(F.col("key").alias("record"), "component")
     batch = rows.join(at, "record").groupBy("component").agg(F.count("*").alias("n"), F.count("split").alias("named"), F.collect_set("split").alias("asked"))
     comp = all_keys.select("component").distinct().join(held, "component", "left").join(batch, "component", "left")
@@ -90,10 +95,11 @@ def update(rows: DataFrame, table: DataFrame | None = None, shares: dict[str, fl
         "component", (F.coalesce("had", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("rows"),
         F.coalesce(F.col("quarantined"), F.lit(False)) | (F.coalesce(F.size("held"), F.lit(0)) > 1), F.when(F.size("held") == 1, F.col("held")[0]).alias("kept"),
         F.when((F.coalesce(F.size("held"), F.lit(0)) < 1) & (F.size("asked") == 1), F.col("asked")[0]).alias("asked"),
-    ).toDF("component", "rows", "quarantined", "kept", "asked")
+        F.sort_array(F.array_union(F.coalesce("named_before", F.array().cast("array<string>")), F.coalesce("asked", F.array().cast("array<string>")))).alias("all_asked"),
+    ).toDF("component", "rows", "quarantined", "kept", "asked", "all_asked")
     comp = scratch.save(comp, "components")
     placed = _place(comp, shares)
-    out = all_keys.select("key", "component").join(placed, "component").select("key", "component", "split", "quarantined", "rows")
+    out = all_keys.select("key", "component").join(placed, "component").join(comp.select("component", F.col("all_asked").alias("asked")), "component").select("key", "component", "split", "quarantined", "rows", "asked")
     return scratch.save(out, "table")
 
 
@@ -141,4 +147,20 @@ def assign(golden: DataFrame, table: DataFrame | None = None, shares: dict[str,
     new = update(rows, table, shares, scratch)
     out = rows.join(new.select(F.col("key").alias("record"), F.col("split").alias("new_split"), "quarantined"), "record")
     out = out.select(F.expr("record div 2").alias("id"), F.expr("(thread - 1) div 2").alias("thread_id"), F.col("split").alias("was"), F.col("new_split").alias("split"), "quarantined")
-    return out, torn(rows).select(F.expr("(thread - 1) div 2").alias("thread_id"), "splits"), new
+    return out, torn(rows, new).select(F.expr("(thread - 1) div 2").alias("thread_id"), "splits"), new
+
+
+def in_batches(golden: DataFrame, batch: Column) -> DataFrame:
+    """(id, thread_id, batch, split, quarantined) of golden rows that come in as two batches.
+
+    Rows where batch holds come first; the second batch meets the table of the first, as it does on
+    a later day. What the first batch was given stays, unless the second joins components of
+    different splits.
+    """
+    scratch = Scratch(golden.sparkSession, "batches")
+    rows = scratch.save(keyed(golden.withColumn("_first", F.coalesce(batch, F.lit(False))), "_first"), "keyed")
+    table = None
+    for first in (True, False):
+        table = update(rows.where(F.col("_first") == first).drop("_first"), table)
+    out = rows.join(table.select(F.col("key").alias("record"), F.col("split").alias("new_split"), "quarantined"), "record")
+    return out.select(F.expr("record div 2").alias("id"), F.expr("(thread - 1) div 2").alias("thread_id"), F.when(F.col("_first"), 1).otherwise(2).alias("batch"), F.col("new_split").alias("split"), "quarantined")

@@ -248,6 +248,25 @@ def test_splits_are_incremental(spark):
     assert splits.update(rows([]), second).count() == second.count() and splits.update(rows([])).count() == 0
 
 
+def test_torn_threads_come_from_the_table(spark):
+    g = spark.createDataFrame([(1, "train", 5), (2, "test", 5), (2, "test", 6), (3, "train", 6), (4, "dev", 7), (5, None, 7), (6, "dev", 8), (7, "DEV ", 8), (7, "test", None)], "id long, split string, thread_id long")
+    out, torn, table = splits.assign(g)
+    assert sorted((r["thread_id"], r["splits"]) for r in torn.collect()) == [(5, ["test", "train"]), (6, ["test", "train"])]
+    asked = {r["key"]: r["asked"] for r in table.collect()}
+    assert asked[11] == asked[13] == ["test", "train"] and asked[15] == ["dev"] and asked[17] == ["dev", "test"]
+    later = {r["key"]: r["asked"] for r in splits.update(spark.createDataFrame([(8, 15, "train")], "record long, thread long, split string"), table).collect()}
+    assert later[15] == ["dev", "train"] and later[11] == ["test", "train"]
+
+
+def test_splits_in_batches_keep_threads_whole(spark):
+    g = spark.createDataFrame([(i, None, i // 4) for i in range(400)], "id long, split string, thread_id long").withColumn("batch", F.lit(0))
+    got = splits.in_batches(g, F.col("id") % 8 < 3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["thread_id"], set()).add((r["split"], r["quarantined"]))
+    assert len(got) == 400 and all(len(v) == 1 for v in by.values()) and {r["batch"] for r in got} == {1, 2}
+
+
 # ---- 6
 
 
