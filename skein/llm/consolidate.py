@@ -7,6 +7,8 @@ small components that remain are labelled by minimum propagation.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,33 +18,44 @@ from skein.session import Scratch
 MAX_FRONTIERS = 200  # beyond that what was reached becomes one vertex, and propagation finishes it
 
 
-def peel(edges: DataFrame, scratch: Scratch, max_frontiers: int = MAX_FRONTIERS) -> tuple[DataFrame | None, DataFrame]:
+def peel(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_frontiers: int = MAX_FRONTIERS) -> tuple[DataFrame | None, DataFrame]:
     """Members (id) of the component around the highest-degree vertex, and the edges left.
 
+    Vertices are the representatives of nodes; a vertex's degree counts the links of all that was
+    contracted into it, so the vertex that holds most of the giant component is where the search
+    starts. Each frontier is joined to the links; what it reaches can only lie in it, in the one
+    before or in the next, so the two are anti-joined away and no round reads what earlier ones reached.
     Where max_frontiers rounds do not exhaust the component, the edges left hold one vertex (the
     smallest id reached) in place of all that was reached, so no link is lost.
     """
+    inner = nodes.groupBy("rep").agg(F.count("*").alias("links")).select(F.col("rep").alias("v"), "links")
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    top = both.groupBy("a").count().orderBy(F.desc("count"), "a").limit(1).collect()  # one row
+    degree = inner.unionAll(both.select(F.col("a").alias("v"), F.lit(1).alias("links"))).groupBy("v").agg(F.sum("links").alias("degree"))
+    top = degree.orderBy(F.desc("degree"), "v").limit(1).collect()  # one row
     if not top:
         return None, edges
     pairs = scratch.save(both, "pairs")
-    seed = edges.sparkSession.createDataFrame([(top[0]["a"],)], "id long")
-    reached = frontier = scratch.save(seed, "frontier")
+    frontier = scratch.save(edges.sparkSession.createDataFrame([(top[0]["v"],)], "id long"), "frontier")
+    levels, before = [frontier], None
     for _ in range(max_frontiers):
-        step = pairs.join(frontier, pairs.a == frontier.id, "left_semi").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti")
-        frontier = scratch.save(step, "frontier")
+        step = pairs.join(frontier, pairs.a == frontier.id, "left_semi").select(F.col("b").alias("id")).distinct().join(frontier, "id", "left_anti")
+        if before is not None:
+            step = step.join(before, "id", "left_anti")
+        before, frontier = frontier, scratch.save(step, "frontier")
         if not frontier.limit(1).count():
             break
-        reached = reached.unionAll(frontier)
+        levels.append(frontier)
     else:
-        reached = scratch.save(reached, "reached")
+        reached = scratch.save(functools.reduce(DataFrame.unionAll, levels), "reached")
+        scratch.drop(pairs, *levels)
         low = reached.agg(F.min("id")).first()[0]
         mark = reached.select("id", F.lit(low).alias("low"))
         left = edges
         for c in ("a", "b"):
             left = left.join(mark.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("low", c)).drop("low")
         return reached, left.where("a <> b").select("a", "b").distinct()
+    reached = scratch.save(functools.reduce(DataFrame.unionAll, levels), "reached")
+    scratch.drop(pairs, *levels, frontier)
     return reached, edges.join(reached, edges.a == reached.id, "left_anti")
 
 
@@ -55,7 +68,7 @@ def group_labels(rows: DataFrame, scratch: Scratch | None = None, max_frontiers:
     """
     scratch = scratch or Scratch(rows.sparkSession, "groups")
     nodes, edges = contract(rows, scratch)
-    giant, rest = peel(edges, scratch, max_frontiers)
+    giant, rest = peel(nodes, edges, scratch, max_frontiers)
     labels = min_labels(rest, scratch).select("id", "label")
     if giant is not None:
         low = giant.agg(F.min("id")).first()[0]

@@ -145,6 +145,24 @@ def test_groups_match_union_find(spark, frontiers):
     assert {(r["tweet_id"], r["group_id"]) for r in got} == {(x, v) for x, v in label.items() if counts[v] > 1}
 
 
+def test_peel_takes_the_giant_component(spark):
+    rng = random.Random(5)
+    links = [(i, i - 1 if i % 500 else None) for i in range(1, 500)] + [(i, rng.randrange(1000, i)) for i in range(1001, 3000)] + [(4000 + i, 4000) for i in range(40)]
+    rng.shuffle(links)
+    rows = spark.createDataFrame([(i, p, 0) for i, p in links] + [(1000, None, 0), (0, None, 0)], "id long, link long, kind int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scratch = Scratch(spark, "peel")
+        nodes, edges = consolidate.contract(rows, scratch)
+        assert nodes.select(F.col("rep")).distinct().count() > 3 and edges.count() > 1
+        giant, left = consolidate.peel(nodes, edges, scratch)
+        peeled = {r["id"] for r in nodes.join(giant.withColumnRenamed("id", "rep"), "rep").select("id").collect()}
+        assert peeled == set(range(1000, 3000))
+        assert not {x for r in left.collect() for x in (r["a"], r["b"])} & peeled
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_groups_of_empty_tables(spark):
     assert consolidate.groups(spark.createDataFrame([], TWCS), spark.createDataFrame([], GOLDEN)).count() == 0
 
