@@ -24,9 +24,6 @@ from skein.operators.hierarchy import ABSENT, hierarchy
 from skein.session import Scratch
 
 BUCKET_ROWS = 4_000  # rows of a state bucket on average
-#: Rows later than this behind the newest are dropped by the watermark; a replay of a whole dump
-#: must keep all, so by default conversations close by count and nothing is ever late.
-WATERMARK_DELAY = "100 years"
 LARGE_ROWS = 500_000  # conversations of more rows are never buffered in one state
 SLICE_SECONDS = 3_600  # they are numbered by slices of this length
 TIMEOUT_MS = 30 * 24 * 3600 * 1000  # an open conversation is closed this long after its last message
@@ -91,28 +88,33 @@ def close_large(rows: DataFrame) -> DataFrame:
 
 
 def _step(key, frames, state: GroupState):
-    """Buffer a bucket's new rows; emit what is complete, or on timeout what is old enough."""
-    kept = pickle.loads(state.get[0]) if state.exists else None
+    """Buffer a bucket's new rows; emit what is complete, or on timeout what is old enough.
+
+    The state holds the open rows and the roots that were closed by timeout. A row that comes for
+    such a root is later than the timeout allows and is left out, so that no conversation is emitted
+    twice. Conversations that closed by count have no more rows to come.
+    """
+    kept, over = pickle.loads(state.get[0]) if state.exists else (None, set())
     parts = [] if kept is None else [kept]
     parts += [f[COLS] for f in frames]
     rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0] if parts else pd.DataFrame(columns=COLS)
-    if not len(rows):
-        state.remove()
-        return
+    if over:
+        rows = rows[~rows["root"].isin(over)]
     wm = state.getCurrentWatermarkMs()
     have = rows.groupby("root")["at"].agg(["size", "max"])
     want = rows.groupby("root")["tree_rows"].max()
     full = have["size"] >= want
-    stale = (have["max"] != NONE) & (have["max"] * 1000 + state_timeout() <= wm) if state.hasTimedOut else np.zeros(len(have), bool)
-    closed = have.index[full | stale]
-    is_closed = rows["root"].isin(closed)
+    stale = (have["max"] == NONE) | (have["max"] * 1000 + state_timeout() <= wm) if state.hasTimedOut else np.zeros(len(have), bool)
+    over |= set(have.index[~full & stale].tolist())
+    is_closed = rows["root"].isin(have.index[full | stale])
     open_rows = rows[~is_closed]
+    if len(open_rows) or over:
+        state.update((pickle.dumps((open_rows if len(open_rows) else None, over), protocol=5),))
+    elif state.exists:
+        state.remove()
     if len(open_rows):
-        state.update((pickle.dumps(open_rows, protocol=5),))
         newest = open_rows["at"].max()
         state.setTimeoutTimestamp(int(max(wm + 1, (newest * 1000 if newest != NONE else max(wm, 0)) + state_timeout())))
-    elif state.exists:
-        state.remove()
     yield close(rows[is_closed])
 
 
@@ -128,18 +130,24 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return path if fs.getFileStatus(p).isDirectory() else f"{path[:-1]}[{path[-1]}]"
 
 
-def rebuild(spark: SparkSession, folder: str, scratch: Scratch | None = None, watermark_delay: str = WATERMARK_DELAY, bucket_rows: int = BUCKET_ROWS, files_per_trigger: int | None = None, large_rows: int = LARGE_ROWS) -> DataFrame:
+def rebuild(spark: SparkSession, folder: str, scratch: Scratch | None = None, watermark_delay: str | None = None, bucket_rows: int = BUCKET_ROWS, files_per_trigger: int | None = None, large_rows: int = LARGE_ROWS) -> DataFrame:
     """(conversation_id, turn, tweet_id, role) of the message rows in a Parquet file or folder.
 
     turn counts from 1 by instant, then tweet_id. Null and unreadable instants, null and empty
     texts and repeated rows are handled as close() states; rows with a null tweet_id are dropped;
-    an empty table gives an empty result; other columns are not read. Conversations of more than
+    an empty table gives an empty result; other columns are not read. Rows later than
+    watermark_delay behind the newest are dropped; by default that is the time the rows span, as a
+    replay of a whole dump, whose late rows stand anywhere, must keep all. Conversations of more than
     large_rows rows bypass the state, with the same result; see close_large().
     """
     scratch = scratch or Scratch(spark, "conversations")
     static = spark.read.parquet(folder)
     idx = scratch.save(index(static, scratch), "index")
     buckets = max(16, idx.count() // bucket_rows)
+    if watermark_delay is None:
+        seconds = instant(F.col("created_at"))
+        lo, hi = static.agg(F.min(seconds), F.max(seconds)).first()
+        watermark_delay = f"{1 + ((hi - lo) // 86_400 if lo is not None else 0)} days"
     needed = ["tweet_id", "author_id", "created_at", "text"]
     reader = spark.readStream.schema(static.select(*needed).schema)
     if files_per_trigger:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,6 +375,45 @@ def test_conversations(spark, tmp_path, parts, k):
     assert rebuild(spark, tmp_path, TALKS, parts, **k) == WANT
 
 
+class State:
+    """What _step() uses of a group's state."""
+
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.wm, self.timeout = False, False, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.wm
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists = False
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_late_rows_of_conversations_closed_by_timeout_open_nothing():
+    def feed(state, *rows):
+        f = pd.DataFrame(rows, columns=conversations.COLS)
+        return [tuple(r) for out in conversations._step((0,), [f] if rows else [], state) for r in out.itertuples(index=False)]
+
+    day, s = 86_400, State()
+    first, answer, late = (1, 1, 0, True, True, False, 3), (1, 2, day, True, False, False, 3), (1, 3, 2 * day, True, True, False, 3)
+    assert feed(s, first, answer) == [] and s.exists and s.timeout == (day + 30 * day) * 1000
+    s.wm, s.hasTimedOut = 32 * day * 1000, True
+    assert feed(s) == [(1, 1, 1, "customer"), (1, 2, 2, "brand")]  # closed by timeout, in order
+    s.hasTimedOut = False
+    assert feed(s, late) == [] and s.exists  # the conversation is not emitted again
+    other = [(5, 5, 40 * day, True, True, False, 2), (5, 6, 41 * day, True, False, False, 2)]
+    assert feed(s, other[1]) == [] and feed(s, other[0]) == [(5, 1, 5, "customer"), (5, 2, 6, "brand")]  # late, and complete by count
+    s = State()
+    feed(s, (9, 9, conversations.NONE, True, True, False, 2))
+    s.hasTimedOut, s.wm = True, 1
+    assert feed(s) == []  # without any instant it is closed and dropped
+
+
 def test_conversations_of_an_empty_table(spark, tmp_path):
     assert rebuild(spark, tmp_path, []) == []
 
