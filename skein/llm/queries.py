@@ -92,11 +92,45 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p3_found, p3_segments, p5_found, p5_splits, p5_batches, p6_found, p6_scores, p6_validation, p7_found, p8_ids, p9_found, p10_found, p10_restored)}
+#: t: a row a tweet; down: what a root reaches; low: what leads into a circle, by its smallest tweet
+_TREES = """
+WITH RECURSIVE t AS (
+  SELECT tweet_id AS id, max(in_response_to_tweet_id) AS parent FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1
+), down AS (
+  SELECT id, id AS root, parent IS NOT NULL AS broken FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t)
+  UNION ALL
+  SELECT t.id, down.root, down.broken FROM down JOIN t ON t.parent = down.id
+), lost AS (
+  SELECT id, parent FROM t WHERE id NOT IN (SELECT id FROM down)
+), up AS (
+  SELECT id, parent AS anc FROM lost UNION SELECT up.id, lost.parent FROM up JOIN lost ON up.anc = lost.id
+), low AS (
+  SELECT up.id, min(up.anc) AS root FROM up WHERE up.anc IN (SELECT id FROM up WHERE id = anc) GROUP BY up.id
+), tree AS (SELECT id, root FROM down UNION ALL SELECT id, root FROM low)
+"""
+_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200D}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{2060}\\x{3000}\\x{FEFF}]+"
+
 ORACLE: dict[str, str] = {
+    "p2_found": _TREES + """, g AS (SELECT DISTINCT id, thread_id FROM golden WHERE id IS NOT NULL),
+v AS (SELECT id, root FROM tree UNION ALL SELECT DISTINCT id, id FROM g WHERE id NOT IN (SELECT id FROM tree)),
+hub AS (SELECT thread_id, min(root) AS hub FROM g JOIN v USING (id) WHERE thread_id IS NOT NULL GROUP BY thread_id),
+e AS (SELECT DISTINCT v.root AS a, hub AS b FROM g JOIN v USING (id) JOIN hub USING (thread_id) WHERE v.root <> hub),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT a AS x, a AS y FROM e2 UNION SELECT c.x, e2.b FROM c JOIN e2 ON c.y = e2.a),
+m AS (SELECT x, min(y) AS k FROM c GROUP BY x),
+l AS (SELECT v.id, coalesce(m.k, v.root) AS k FROM v LEFT JOIN m ON m.x = v.root)
+SELECT id AS tweet_id, group_id FROM (SELECT id, min(id) OVER (PARTITION BY k) AS group_id, count(*) OVER (PARTITION BY k) AS n FROM l) WHERE n > 1""",
     "p5_found": """
 SELECT thread_id FROM (
   SELECT thread_id, CASE WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'dev' WHEN s IN ('train', 'test') THEN s END AS split
   FROM (SELECT thread_id, lower(regexp_replace(split, '\\s', '', 'g')) AS s FROM golden WHERE id IS NOT NULL)
 ) WHERE thread_id IS NOT NULL GROUP BY thread_id HAVING count(DISTINCT split) > 1
 """,
+    "p7_found": _TREES + f""", r AS (SELECT tweet_id AS id, CASE WHEN regexp_matches(trim(created_at), '^[A-Za-z]{{3}} [A-Za-z]{{3}} [0-9]{{2}} ') THEN epoch(try_strptime(trim(created_at), '%a %b %d %H:%M:%S %z %Y'))::BIGINT
+             WHEN regexp_matches(trim(created_at), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]') THEN epoch(try_cast(replace(trim(created_at), 'Z', '+00:00') AS TIMESTAMPTZ))::BIGINT END AS sec,
+  coalesce(length(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\b(?:https?://|www\\.)\\S+', '', 'g'), '@\\w+', '', 'g'), '{_BLANK}', '', 'g')) > 0, false) AS content, coalesce(regexp_full_match(author_id, '[0-9]+'), false) AS customer
+  FROM twcs WHERE tweet_id IS NOT NULL), o AS (SELECT id, max(sec) AS sec, bool_or(content) AS content, bool_or(customer) AS customer FROM r GROUP BY id),
+k AS (SELECT o.*, d.root, d.broken FROM o JOIN down d USING (id)),
+fine AS (SELECT root FROM k GROUP BY root HAVING NOT bool_or(broken) AND count(*) = count(sec) AND bool_or(content AND customer) AND bool_or(content AND NOT customer))
+SELECT root AS conversation_id, (row_number() OVER (PARTITION BY root ORDER BY sec, id))::INT AS turn, id AS tweet_id, CASE WHEN customer THEN 'customer' ELSE 'brand' END AS role FROM k JOIN fine USING (root) WHERE content""",
 }
