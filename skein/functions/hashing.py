@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,23 @@ def order_key(purpose: str, *keys: Column) -> Column:
 def request_key(**fields: Column) -> Column:
     """The key of a cached request: 32 hex digits over its fields in name order."""
     return F.substring(F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256), 1, 32)
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson(1) count, 0 to 8, for a uniform draw: how often a bootstrap takes a row."""
+    out, p, total = F.lit(0), math.exp(-1), math.exp(-1)
+    for k in range(1, 9):
+        out = F.when(u >= total, k).otherwise(out)
+        p /= k
+        total += p
+    return out
+
+
+def embedding_key(model: str, tag: str | None, text: Column) -> Column:
+    """The key of a cached embedding: model, tag ("-" where texts and queries are embedded alike) and text."""
+    return F.sha2(F.concat_ws("|", F.lit(model), F.lit(tag or "-"), text), 256)
+
+
+def item_hash(message: Column, draft: Column) -> Column:
+    """Ten hex digits that change when a message or its draft does; nulls count as empty."""
+    return F.substring(F.sha2(F.concat(F.coalesce(message, F.lit("")), F.lit("\n"), F.coalesce(draft, F.lit(""))), 256), 1, 10)

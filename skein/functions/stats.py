@@ -39,6 +39,12 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2 * tail)
 
 
+def wilcoxon_two_sided(w_plus: float, n: int, ties: float = 0.0) -> float:
+    """Wilcoxon's signed-rank p by the normal approximation; ties is the sum of t**3 - t. 1 where n is zero."""
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return 1.0 if n == 0 or var <= 0 else math.erfc(abs(w_plus - n * (n + 1) / 4) / math.sqrt(2 * var))
+
+
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     """Fisher's exact test of a 2x2 table: the sum of the tables no likelier than this one."""
     row, col, n = a + b, a + c, a + b + c + d

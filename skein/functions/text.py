@@ -63,3 +63,37 @@ def unescape(text: Column) -> Column:
 def cut(text: Column, n: int) -> Column:
     """At most n characters, with an ellipsis where something was cut."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+
+
+# How a reply begins that is the model thinking aloud.
+REASONING = r"(?i)^\s*(?:okay|ok|alright|let me|let's|first,|the user|we need to|i need to|i should|hmm|so,? the)\b"
+
+
+def looks_like_reasoning(text: Column) -> Column:
+    """Whether a completion is thinking aloud, or holds the end of a thinking block; false for null."""
+    return F.coalesce(text.rlike(REASONING) | text.contains("</think>"), F.lit(False))
+
+
+def old_private_channel(text: Column) -> Column:
+    """The narrower predicate of old index builds: it misses the plural, and is kept for comparison."""
+    return F.coalesce(text.rlike(r"(?i)\b(?:dm|direct message|private message)\b"), F.lit(False))
+
+
+def bare_letter(text: Column, last: str = "J") -> Column:
+    """The option letter that is all of an answer but punctuation, or null."""
+    return F.nullif(F.regexp_extract(text, rf"^\W*([A-{last}])\W*$", 1), F.lit(""))
+
+
+def one_line(text: Column) -> Column:
+    """Text for a cell of a Markdown table: white space in single blanks, bars escaped."""
+    return F.trim(F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("|"), F.lit("\\|")))
+
+
+def as_reason(rule: Column, value: Column, trigger: Column) -> Column:
+    """`rule 0.12: "trigger"`, without what is null."""
+    return F.concat(rule, F.coalesce(F.concat(F.lit(" "), F.format_string("%.2f", value)), F.lit("")), F.coalesce(F.concat(F.lit(': "'), trigger, F.lit('"')), F.lit("")))
+
+
+def few_shot(examples: Column) -> Column:
+    """Lines `text -> label` of an array of (text, label, score), the most similar last."""
+    return F.array_join(F.transform(F.array_sort(F.transform(examples, lambda e: F.struct(e["score"].alias("score"), e["text"].alias("text"), e["label"].alias("label")))), lambda e: F.concat(e["text"], F.lit(" -> "), e["label"])), "\n")

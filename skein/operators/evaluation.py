@@ -6,10 +6,13 @@ data or from a given list, so a class nobody predicted still counts.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import draw
+from skein.config import GLOBAL_SEED
+from skein.functions.hashing import draw, poisson
 from skein.functions.stats import ratio, wilson
 
 
@@ -82,16 +85,19 @@ def paired_counts(pairs: DataFrame) -> DataFrame:
     return p.agg(F.count_if(F.expr("a and b")).alias("both"), F.count_if(F.expr("a and not b")).alias("a_only"), F.count_if(F.expr("b and not a")).alias("b_only"), F.count_if(F.expr("not a and not b")).alias("neither"))
 
 
-def signed_ranks(pairs: DataFrame) -> DataFrame:
+def signed_ranks(pairs: DataFrame, ties: bool = False) -> DataFrame:
     """Wilcoxon's W+ and W- of (a, b), zero differences dropped, ties with their average rank.
 
+    With ties also the sum of t**3 - t over groups of t equal differences, which the variance needs.
+
     Ranks come from the counts of distinct absolute differences, so rows are pre-aggregated first.
     """
     d = pairs.select((F.col("a") - F.col("b")).alias("d")).where("d is not null and d <> 0")
     c = d.groupBy(F.round(F.abs("d"), 9).alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a distinct difference
     r = c.select("n", "up", (before + (F.col("n") + 1) / 2.0).alias("rank"))
-    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("n") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("w_minus"))
+    more = [F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0.0)).alias("ties")] if ties else []
+    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("n") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("w_minus"), *more)
 
 
 def auc(rows: DataFrame) -> DataFrame:
@@ -130,25 +136,81 @@ def sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return g.withColumn("coverage", F.round(ratio(F.col("n_auto"), F.col("n")), 6)).withColumn("error_on_auto", F.round(ratio(F.col("auto_wrong"), F.col("n_auto")), 6))
 
 
-def bootstrap_accuracy(preds: DataFrame, draws: int, key: str = "id") -> DataFrame:
-    """Percentile interval of accuracy: each draw weighs rows by a Poisson(1) hash draw.
+CELLS = 100_000  # cells of a confusion table that are resampled in one task
+
+
+def bootstrap(preds: DataFrame, measure, draws: int = 2000, seed: int = GLOBAL_SEED) -> DataFrame:
+    """(lo, hi, draws): the 95 % percentile interval of a measure of a confusion table, rows resampled.
+
+    Drawing n rows with replacement is drawing their cells (y, pred) by their shares, so only the
+    cells, at most CELLS, go to the tasks and the cost does not depend on the rows. measure takes a
+    square table of counts, labels in order, and gives a number.
+    """
+    cells = confusion(preds).orderBy("y", "pred").limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} different pairs of labels")
+    labels = sorted({x for r in cells for x in (r["y"], r["pred"])})
+    at = {x: i for i, x in enumerate(labels)}
+    n = np.array([r["n"] for r in cells], np.int64)
+    ys, ps, k = [at[r["y"]] for r in cells], [at[r["pred"]] for r in cells], len(labels)
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for d in f["id"]:
+                table = np.zeros((k, k), np.int64)
+                if len(n):
+                    np.add.at(table, (ys, ps), np.random.default_rng([seed, int(d)]).multinomial(n.sum(), n / n.sum()))
+                out.append(measure(table))
+            yield pd.DataFrame({"v": pd.Series(out, dtype="float64")})
+
+    v = preds.sparkSession.range(draws if len(n) else 0).mapInPandas(run, "v double")
+    return v.agg(F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"), F.count("*").alias("draws"))
+
+
+def table_accuracy(table: np.ndarray) -> float:
+    return float(np.trace(table) / max(table.sum(), 1))
+
+
+def table_macro_f1(table: np.ndarray) -> float:
+    """Macro-F1 over the labels that the full table names; 0 for 0 / 0."""
+    tp, both = np.diag(table), table.sum(0) + table.sum(1)
+    return float(np.mean(np.where(both > 0, 2 * tp / np.maximum(both, 1), 0.0))) if len(table) else 0.0
+
+
+def table_kappa(table: np.ndarray) -> float:
+    """Cohen's kappa; 1 where no disagreement is possible."""
+    n = max(table.sum(), 1)
+    pe = float((table.sum(0) / n) @ (table.sum(1) / n))
+    return 1.0 if pe >= 1 else (np.trace(table) / n - pe) / (1 - pe)
+
+
+def clustered_kappa(pairs: DataFrame, draws: int = 2000) -> DataFrame:
+    """(lo, hi, draws) of Cohen's kappa of (a, b, cluster), whole clusters resampled by Poisson(1) hash weights.
 
-    Rows stay where they are; a draw is a weight, so nothing is joined and sums are pre-aggregated.
+    Rows are summed up by cluster and cell first. Nulls in a or b are left out, a null cluster is
+    one; fewer than two clusters give nulls.
     """
-    b = preds.where("y is not null and pred is not null").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = draw("bootstrap", F.col("b"), F.col(key))
-    w = F.lit(0)
-    p, total = 0.36787944117144233, 0.36787944117144233
-    steps = []
-    for k in range(1, 8):
-        steps.append((total, k))
-        p /= k
-        total += p
-    for bound, k in reversed(steps):
-        w = F.when(u >= bound, F.greatest(F.lit(k), w)).otherwise(w)
-    s = b.withColumn("w", w).groupBy("b").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("w")).otherwise(0)).alias("hit"))
-    v = s.select(ratio(F.col("hit"), F.col("n")).alias("acc"))
-    return v.agg(F.round(F.percentile("acc", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("acc", F.lit(0.975)), 6).alias("hi"), F.count("*").alias("draws"))
+    cells = pairs.where("a is not null and b is not null").groupBy("cluster", "a", "b").agg(F.count("*").alias("n"))
+    x = cells.withColumn("b_", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson(draw("cluster", F.col("b_"), F.col("cluster"))) * F.col("n"))
+    c = x.groupBy("b_", "a", "b").agg(F.sum("w").alias("n")).where("n > 0")
+    m = c.select("b_", F.col("a").alias("label"), F.col("n").alias("na"), F.lit(0).alias("nb"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("same"))
+    m = m.unionAll(c.select("b_", "b", F.lit(0), "n", F.lit(0))).groupBy("b_", "label").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("same").alias("same"))
+    t = m.groupBy("b_").agg(F.sum("na").cast("double").alias("n"), F.sum("same").alias("same"), F.sum(F.col("na").cast("double") * F.col("nb")).alias("nn"))
+    pe = F.col("nn") / (F.col("n") * F.col("n"))
+    k = t.select(F.when(pe >= 1, 1.0).otherwise(F.try_divide(F.col("same") / F.col("n") - pe, 1 - pe)).alias("k"))
+    many = cells.select("cluster").distinct().limit(2).agg((F.count("*") > 1).alias("many"))
+    s = k.agg(F.round(F.percentile("k", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("k", F.lit(0.975)), 6).alias("hi"), F.count("*").alias("draws"))
+    return s.join(many).select(F.when(F.col("many"), F.col("lo")).alias("lo"), F.when(F.col("many"), F.col("hi")).alias("hi"), "draws")  # one row each
+
+
+def kappa_band(kappa: Column) -> Column:
+    """The usual word for a kappa; null for null."""
+    bands = ((0.0, "poor"), (0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial"))
+    out = F.when(kappa.isNotNull(), F.lit("almost perfect"))
+    for top, word in reversed(bands):
+        out = F.when(kappa <= top, F.lit(word)).otherwise(out)
+    return out
 
 
 def flat_diff(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -83,3 +83,15 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     c = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("n"))
     w = Window.partitionBy()  # a row a class
     return c.select(y, "n", F.round(F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")), 6).alias("weight"))
+
+
+def reply_corpus(exchanges: DataFrame, n: int) -> DataFrame:
+    """n train exchanges with a reply that says something, one a thread, in order of their id."""
+    kept = exchanges.where((F.col("split") == "train") & (index_reason() == "kept"))
+    one = one_per_group(kept, "thread_id", order_key("corpus", F.col("customer_tweet_id")), F.col("customer_tweet_id"))
+    return hash_sample(one, n, "corpus", F.col("customer_tweet_id")).orderBy("customer_tweet_id")
+
+
+def shuffled(df: DataFrame, purpose: str, *keys: Column) -> DataFrame:
+    """df with `place`: each row's place from 1 in a shuffle within its group (keys[0]) that repeats on every run."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(keys[0]).orderBy(order_key(purpose, *keys), *keys)))

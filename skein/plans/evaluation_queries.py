@@ -90,7 +90,11 @@ def _weights(spark, sf_dir):
     return s.join(t.withColumnRenamed("share", "traffic"), "label", "left").select("label", F.round(F.coalesce("traffic", F.lit(0.0)) / F.col("share"), 6).alias("weight"))
 
 
-@query()
+@query(_P + """, t AS (SELECT intent AS label, count(*) AS n FROM h WHERE intent IS NOT NULL GROUP BY 1), s AS (SELECT y AS label, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1),
+u AS (SELECT label, round((coalesce(t.n, 0) / (SELECT sum(n) FROM t)::DOUBLE) / (s.n / (SELECT sum(n) FROM s)::DOUBLE), 6) AS wt FROM s LEFT JOIN t USING (label)),
+c AS (SELECT y, pred, count(*) * any_value(wt) AS n FROM p JOIN u ON u.label = y WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY ALL),
+f AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT y AS label, CASE WHEN y = pred THEN n ELSE 0 END AS tp, 0 AS fp, CASE WHEN y <> pred THEN n ELSE 0 END AS fn FROM c UNION ALL SELECT pred, 0, n, 0 FROM c WHERE y <> pred) GROUP BY label HAVING sum(tp) + sum(fn) > 0)
+SELECT round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 5) AS weighted_macro_f1, count(*) AS n_classes FROM f""")
 def weighted_macro_f1(spark, sf_dir):
     return E.weighted_macro_f1(_preds(spark, sf_dir), _weights(spark, sf_dir))
 
@@ -191,7 +195,25 @@ def posterior_signals(spark, sf_dir):
 
 @query()
 def bootstrap_accuracy(spark, sf_dir):
-    return E.bootstrap_accuracy(_preds(spark, sf_dir), 2000)
+    return E.bootstrap(_preds(spark, sf_dir), E.table_accuracy, 2000)
+
+
+@query()
+def bootstrap_macro_f1(spark, sf_dir):
+    return E.bootstrap(_preds(spark, sf_dir), E.table_macro_f1, 2000)
+
+
+@query()
+def kappa_interval(spark, sf_dir):
+    """Of labels against votes, rows resampled."""
+    return E.bootstrap(_preds(spark, sf_dir), E.table_kappa, 2000)
+
+
+@query()
+def kappa_cluster_interval(spark, sf_dir):
+    """The same with whole threads resampled."""
+    g = golden_once(spark, sf_dir).select("id", "thread_id")
+    return E.clustered_kappa(_preds(spark, sf_dir).join(g, "id").select(F.col("y").alias("a"), F.col("pred").alias("b"), F.coalesce(F.col("thread_id"), -F.col("id")).alias("cluster")))
 
 
 @query("""SELECT drafter, CASE WHEN coalesce(error, '') <> '' THEN 'error' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN regexp_matches(regexp_replace(text, '^\\s*(?:<user>\\s*)+', ''), '<(?:user|url|email|flight|ref|phone|num)>') THEN 'placeholder' ELSE 'valid' END AS validity, count(*) AS n,

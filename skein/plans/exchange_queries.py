@@ -8,6 +8,7 @@ from skein.functions import text as T
 from skein.functions.hashing import seed_for
 from skein.operators import exchanges as X
 from skein.operators.graph import components
+from skein.plans.hierarchy_queries import TREES
 from skein.session import Scratch
 from skein.sources.tables import table
 
@@ -94,7 +95,7 @@ def exchanges_kept(spark, sf_dir):
     return X.kept(table(spark, sf_dir, "exchanges")).select("customer_tweet_id", "thread_id", "split")
 
 
-@query()
+@query(TREES + "SELECT id AS tweet_id, root AS thread_id FROM (SELECT id, min(id) OVER (PARTITION BY root) AS root FROM (SELECT id, root FROM down UNION ALL SELECT id, root FROM low))")
 def thread_components(spark, sf_dir):
     """Every tweet with the smallest tweet of its reply component."""
     t = table(spark, sf_dir, "twcs")

@@ -33,16 +33,35 @@ def p4_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_cycles)}
 
-_TREE = """
+#: t: a row a tweet; down: what a root reaches; lost: what leads into a circle, up: all above it; ring: the circles
+TREES = """
 WITH RECURSIVE t AS (
   SELECT tweet_id AS id, max(in_response_to_tweet_id) AS parent FROM twcs WHERE tweet_id IS NOT NULL GROUP BY 1
 ), down AS (
-  SELECT id, [id] AS path FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t)
+  SELECT id, id AS root, [id] AS path FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t)
   UNION ALL
-  SELECT t.id, list_append(down.path, t.id) FROM down JOIN t ON t.parent = down.id
+  SELECT t.id, down.root, list_append(down.path, t.id) FROM down JOIN t ON t.parent = down.id
+), lost AS (
+  SELECT id, parent FROM t WHERE id NOT IN (SELECT id FROM down)
+), up AS (
+  SELECT id, parent AS anc FROM lost UNION SELECT up.id, lost.parent FROM up JOIN lost ON up.anc = lost.id
+), ring AS (
+  SELECT id FROM up WHERE id = anc
+), low AS (
+  SELECT up.id, min(up.anc) AS root FROM up JOIN ring ON ring.id = up.anc GROUP BY up.id
 )
 """
 
 ORACLE = {
-    "p4_paths": _TREE + "SELECT t.id AS tweet_id, coalesce(path, []) AS path FROM t LEFT JOIN down USING (id)",
+    "p4_found": TREES + "SELECT id AS tweet_id, root AS root_id, len(path)::INT - 1 AS depth FROM down WHERE len(path) > 1 UNION ALL SELECT id, root, -1 FROM low",
+    "p4_paths": TREES + "SELECT t.id AS tweet_id, coalesce(path, []) AS path FROM t LEFT JOIN down USING (id)",
+    "p4_cycles": TREES + "SELECT low.root AS cycle_id, lost.id AS tweet_id, lost.parent AS parent_id FROM lost JOIN ring USING (id) JOIN low USING (id)",
+    "p4_descendants": TREES + """, under AS (
+  SELECT lost.id, low.root, [lost.id] AS path FROM lost JOIN low USING (id) WHERE lost.id NOT IN (SELECT id FROM ring) AND lost.parent IN (SELECT id FROM ring)
+  UNION ALL
+  SELECT lost.id, under.root, list_append(under.path, lost.id) FROM under JOIN lost ON lost.parent = under.id
+), n AS (SELECT * FROM down UNION ALL SELECT * FROM under),
+b AS (SELECT anc AS id, count(*) - 1 AS n_below FROM (SELECT unnest(path) AS anc FROM n) GROUP BY anc)
+SELECT id AS tweet_id, root AS root_id, (row_number() OVER (PARTITION BY root ORDER BY path) - 1)::INT AS pre, n_below::INT AS n_below FROM n JOIN b USING (id)
+UNION ALL SELECT ring.id, low.root, NULL, NULL FROM ring JOIN low USING (id)""",
 }

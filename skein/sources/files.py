@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,50 @@ def write_vectors(df: DataFrame, path: str) -> None:
 def manifest(df: DataFrame, **fields: str) -> DataFrame:
     """One row that describes a table: rows, columns and free fields; written beside the table."""
     return df.agg(F.count("*").alias("rows")).select("rows", F.lit(",".join(df.columns)).alias("columns"), *(F.lit(v).alias(k) for k, v in sorted(fields.items())))
+
+
+def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """(model, key, vector) written by write_vectors(), of one model or of all."""
+    df = spark.read.parquet(path).select("model", "key", "vector")
+    return df if model is None else df.where(F.col("model") == model)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str = CACHE, key: str = "key") -> DataFrame:
+    """A cache of one JSON object a line: torn and blank lines are dropped, of a key's lines the last counts."""
+    lines = read_lines(spark, path).withColumn("j", F.from_json("value", schema, {"mode": "PERMISSIVE"})).where(F.col(f"j.{key}").isNotNull())
+    last = lines.groupBy(F.col(f"j.{key}").alias("_k")).agg(F.max(F.struct("sheet", "line", "j")).alias("m"))
+    return last.select("m.j.*")
+
+
+def append_cache(df: DataFrame, path: str, key: str = "key") -> None:
+    """Adds the rows of df whose key a Parquet cache does not hold yet, each key once."""
+    new = df.dropDuplicates([key])
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+
+
+def revision(folder: str = ".") -> str:
+    """The commit a folder stands at, or `unknown`."""
+    try:
+        got = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
+        return got.stdout.strip() or "unknown"
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+
+
+def write_manifest(df: DataFrame, path: str, **fields: str) -> None:
+    """manifest() with the revision of the code, as one JSON object."""
+    write_jsonl(manifest(df, **{"revision": revision(), **fields}), path, ["rows"])
+
+
+def write_report(summary: DataFrame, rows: DataFrame, path: str) -> None:
+    """A run's report: its summary, one row, with its rows nested in it, as one JSON object."""
+    nested = rows.agg(F.sort_array(F.collect_list(F.struct(*sorted(rows.columns)))).alias("rows"))  # a row a class
+    write_jsonl(summary.join(nested), path)

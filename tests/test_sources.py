@@ -49,4 +49,5 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
         q.awaitTermination()
         assert q.exception() is None
     assert {tuple(r) for r in spark.table("c").collect()} == {tuple(r) for r in cleaned(batch).collect()}
-    assert volume(batch).agg(F.sum("n")).first()[0] == 2 or volume(batch).count() >= 1
+    whole = {tuple(r) for r in volume(batch).collect()}
+    assert {r[2] for r in whole} == {1} and {tuple(r) for r in spark.table("v").collect()} <= whole  # open windows are not emitted
