@@ -28,11 +28,13 @@ def local_session(app: str = "skein", cores: int = 8, shuffle: int = 8) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, such as one of hdfs:// or s3a://")
     if sc.applicationId not in _own_dirs:
         path = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, path, True)
