@@ -23,15 +23,15 @@ def peel(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_frontiers: in
 
     Vertices are the representatives of nodes; a vertex's degree counts the links of all that was
     contracted into it, so the vertex that holds most of the giant component is where the search
-    starts. Each frontier is joined to the links; what it reaches can only lie in it, in the one
+    starts; what lies in one block wholly is labelled already and comes last. Each frontier is joined to the links; what it reaches can only lie in it, in the one
     before or in the next, so the two are anti-joined away and no round reads what earlier ones reached.
     Where max_frontiers rounds do not exhaust the component, the edges left hold one vertex (the
     smallest id reached) in place of all that was reached, so no link is lost.
     """
-    inner = nodes.groupBy("rep").agg(F.count("*").alias("links")).select(F.col("rep").alias("v"), "links")
+    inner = nodes.groupBy("rep").agg(F.count("*").alias("links")).select(F.col("rep").alias("v"), "links", F.lit(0).alias("out"))
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = inner.unionAll(both.select(F.col("a").alias("v"), F.lit(1).alias("links"))).groupBy("v").agg(F.sum("links").alias("degree"))
-    top = degree.orderBy(F.desc("degree"), "v").limit(1).collect()  # one row
+    degree = inner.unionAll(both.select(F.col("a").alias("v"), F.lit(1).alias("links"), F.lit(1).alias("out"))).groupBy("v").agg(F.sum("links").alias("degree"), F.max("out").alias("out"))
+    top = degree.orderBy(F.desc("out"), F.desc("degree"), "v").limit(1).collect()  # one row
     if not top:
         return None, edges
     pairs = scratch.save(both, "pairs")

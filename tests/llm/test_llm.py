@@ -169,7 +169,7 @@ def test_groups_match_union_find(spark, frontiers):
 
 def test_peel_takes_the_giant_component(spark):
     rng = random.Random(5)
-    links = [(i, i - 1 if i % 500 else None) for i in range(1, 500)] + [(i, rng.randrange(1000, i)) for i in range(1001, 3000)] + [(4000 + i, 4000) for i in range(40)]
+    links = [(i, i - 1) for i in range(1, 200)] + [(i, rng.randrange(1000, i)) for i in range(1001, 3000)] + [(4000 + i, 4000) for i in range(40)]
     rng.shuffle(links)
     rows = spark.createDataFrame([(i, p, 0) for i, p in links] + [(1000, None, 0), (0, None, 0)], "id long, link long, kind int")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
