@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -103,6 +104,37 @@ def test_bm25_and_fusion(spark):
     assert [r["doc_id"] for r in R.fuse([R.bm25(docs, q, 5), R.tfidf(docs, q, 5)], 1).collect()] == [1]
 
 
+def ranking_tables(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(words[int(len(words) * rng.random() ** 3)] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rng.randint(1, 9))) for i in range(3000)] + [(3000, "w0"), (3000, "w0 w1 b")], "doc_id long, text string")
+    q = spark.createDataFrame([(i, text(rng.randint(1, 6))) for i in range(60)] + [(60, "w0"), (61, "b")], "qid long, query string")
+    return docs, q, R.postings(docs, "doc_id", "text"), R.query_terms(q, "qid", "query")
+
+
+def ranks_as_joined(ranker, docs, q, x, w, monkeypatch):
+    """Whether a ranker gives what a join of (qid, term, x) with (doc_id, term, w) does, in one block and in many."""
+    rows = lambda d: sorted(d.select("qid", "rank", "doc_id", "score").collect())
+    want = rows(R.top_k(x.join(w, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("x") * F.col("w")), 6).alias("score")), 7))
+    got = ranker(docs, q, 7)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are scored in the tasks
+    assert rows(got) == want
+    for name, value in {"CELLS": 2000, "COLUMNS": 50, "QUERY_VECTORS": 20, "TASK_DOCS": 300, "DENSE": 4}.items():
+        monkeypatch.setattr(R, name, value)
+    assert rows(ranker(docs, q, 7)) == want
+    assert ranker(docs, q.limit(0), 7).count() == ranker(docs.limit(0), q, 7).count() == 0
+
+
+def test_bm25_keeps_pairs_in_a_task(spark, monkeypatch):
+    docs, q, post, terms = ranking_tables(spark)
+    assert post.where("doc_id = 3000 and term = 'w0'").select("tf").collect() == [(2,)]
+    n, al, df = docs.count(), docs.agg(F.avg(F.size(F.split("text", " ")))).first()[0], R.term_stats(post)
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = post.join(df, "term").select("doc_id", "term", (F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / al)) * idf).alias("w"))
+    ranks_as_joined(R.bm25, docs, q, terms.withColumnRenamed("qtf", "x"), w, monkeypatch)
+
+
 def test_dense_excludes_self_and_breaks_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "doc_id long, vector array<double>")
     got = R.dense(v, v.withColumnRenamed("doc_id", "qid"), 2).where("qid = 1").orderBy("rank").collect()
