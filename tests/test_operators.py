@@ -135,6 +135,17 @@ def test_bm25_keeps_pairs_in_a_task(spark, monkeypatch):
     ranks_as_joined(R.bm25, docs, q, terms.withColumnRenamed("qtf", "x"), w, monkeypatch)
 
 
+def test_tfidf_keeps_pairs_in_a_task(spark, monkeypatch):
+    docs, q, post, terms = ranking_tables(spark)
+    df = R.term_stats(post)
+    idf = F.ln((1 + F.lit(float(docs.count()))) / (1 + F.col("df"))) + 1
+    w = post.where("length(term) > 1").join(df, "term").select("doc_id", "term", ((1 + F.ln("tf")) * idf).alias("w"))
+    w = w.join(w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n")), "doc_id").select("doc_id", "term", (F.col("w") / F.col("n")).alias("w"))
+    x = terms.where("length(term) > 1").join(df, "term").select("qid", "term", ((1 + F.ln("qtf")) * idf).alias("x"))
+    x = x.join(x.groupBy("qid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")), "qid").select("qid", "term", (F.col("x") / F.col("n")).alias("x"))
+    ranks_as_joined(R.tfidf, docs, q, x, w, monkeypatch)
+
+
 def test_dense_excludes_self_and_breaks_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "doc_id long, vector array<double>")
     got = R.dense(v, v.withColumnRenamed("doc_id", "qid"), 2).where("qid = 1").orderBy("rank").collect()
