@@ -146,6 +146,11 @@ def test_tfidf_keeps_pairs_in_a_task(spark, monkeypatch):
     ranks_as_joined(R.tfidf, docs, q, x, w, monkeypatch)
 
 
+def test_rrf_fuses_lists_scored_in_tasks(spark):
+    plan = entry.queries()["rrf_top5"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
 def test_dense_excludes_self_and_breaks_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "doc_id long, vector array<double>")
     got = R.dense(v, v.withColumnRenamed("doc_id", "qid"), 2).where("qid = 1").orderBy("rank").collect()
