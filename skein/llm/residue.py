@@ -128,7 +128,7 @@ class Windows:
             n, at = len(got), len(words)
             words += [g[0] for g in got]
             shapes += [g[1] for g in got]
-            letters = sum(map(str.isalpha, text[:2000])) * 10 // max(1, min(len(text), 2000))
+            letters = sum(map(str.isalpha, text)) * 10 // max(1, len(text))
             title = " ".join(str(g[0]) for g in got[:3])
             self.form.append([zlib.crc32(x.encode()) & (BUCKETS - 1) for x in (f"title {title}", f"first {title.split(' ')[0]}", f"length {len(text).bit_length()}", f"words {n.bit_length()}", f"letters {letters}", f"distinct {5 * len(set(got)) // max(n, 1)}")])
             starts = range(0, n - size // 2, size // 2) if n > size else (0,)

@@ -563,3 +563,9 @@ def test_garbled_candidates_hold_all_that_is_found():
     texts.append("ä" * (garbled.CHUNK + 5) + "Ã©")
     found = {i for i, t in enumerate(texts) if garbled.examine(t)[0]}
     assert found <= set(garbled.candidates(texts)) and len(texts) - 1 in found
+
+
+def test_residue_reads_letters_of_whole_texts():
+    reader = residue.Reader()
+    form = lambda text: residue.Windows(reader, [(text, False)]).form[0][4]
+    assert form("word " * 400 + "12345 " * 2000) != form("word " * 400 + "words " * 2000)
