@@ -79,7 +79,7 @@ NAMES_OPEN = [
     re.compile(r"\b([A-Z]{2,}(?:[-'][A-Z]+)*/[A-Z]{2,}\s+(?:MR|MRS|MS|MISS|DR|MSTR))\b"),
 ]
 
-SAMPLE_ROWS = 40_000  # texts that names are learned from
+COUNTED = 500_000  # words and pairs that a task counts before it passes them on
 FAMILY_SHARE, GIVEN_SHARE = 0.5, 0.03  # of a word's texts, those where it is a family name, or a given name before one
 TURNS = 4  # in which the two lists extend each other
 
@@ -125,17 +125,39 @@ class Names:
         return out
 
 
-def learn(texts: list[str]) -> Names:
-    """Given and family names of texts, and the words that are neither; see the module's head."""
-    total, seeds, pairs, back, titled = Counter(), Counter(), Counter(), Counter(), Counter()
+def counted(texts) -> Counter:
+    """How many texts hold each (kind, a, b): a word as a use or in a family name's place, a given name
+    with the gender of its title, and pairs of neighbours, forwards and with a comma backwards."""
+    out = Counter()
     for text in texts:
         low = fold(text).lower()
-        total.update(set(_USE.findall(low)))
-        cues = [m.groups() for m in _CUE.finditer(low)] + [(m.group(2), m.group(1)) for m in _TRAVEL.finditer(low)]
-        seeds.update({f for _, f in cues} | {m.group(2) for m in _TITLE.finditer(low)})
-        titled.update([(m.group(2), TITLES[m.group(1)]) for m in _TITLE.finditer(low)] + [(m.group(2), TITLES.get(m.group(3), "")) for m in _TRAVEL.finditer(low)])
-        pairs.update({(m.group(1), m.group(3)) for m in _PAIR.finditer(low) if not m.group(2)} | set(cues))
-        back.update({(m.group(3), m.group(1)) for m in _PAIR.finditer(low) if m.group(2)})
+        out.update({("use", w, "") for w in _USE.findall(low)})
+        words = set(_WORDS.findall(low))
+        travel = [m.groups() for m in _TRAVEL.finditer(low)] if "/" in low else []
+        cues = ([m.groups() for m in _CUE.finditer(low)] if not _CUE_WORDS.isdisjoint(words) else []) + [(g, f) for f, g, _ in travel]
+        titles = [m.group(1, 2) for m in _TITLE.finditer(low)] if not _TITLE_WORDS.isdisjoint(words) else []
+        out.update({("seed", f, "") for _, f in cues} | {("seed", w, "") for _, w in titles})
+        out.update([("titled", w, TITLES[t]) for t, w in titles] + [("titled", g, TITLES.get(t, "")) for _, g, t in travel])
+        found = {m.groups() for m in _PAIR.finditer(low)}
+        out.update({("pair", a, b) for a, comma, b in found if not comma} | {("pair", *c) for c in cues})
+        out.update({("back", b, a) for a, comma, b in found if comma})
+    return out
+
+
+def learn(texts: list[str]) -> Names:
+    """Given and family names of texts, and the words that are neither; see the module's head."""
+    return names_of(counted(texts).items())
+
+
+def names_of(counts) -> Names:
+    """Names by the ((kind, a, b), n) of counted()."""
+    total, seeds, pairs, back, titled = ({} for _ in range(5))
+    for (kind, a, b), n in counts:
+        if kind in ("use", "seed"):
+            (total if kind == "use" else seeds)[a] = n
+        else:
+            (pairs if kind == "pair" else back if kind == "back" else titled)[a, b] = n
+    total, titled = Counter(total), Counter(titled)
     families = lambda c: {w for w, n in c.items() if len(w) > 2 and n / max(total[w], 1) >= FAMILY_SHARE and w not in _NO_NAME}
     names, family = set(), families(seeds)
     for _ in range(TURNS):
@@ -220,6 +242,8 @@ _WORD = re.compile("[a-z]{2,}")
 _STREET_WORDS = [frozenset(re.findall("[a-z]{2,}", x)) for x in (STREETS_EN, "calle avda avenida paseo plaza camino", _FR, _IT, _PT)]
 _GERMAN = re.compile(r"(?:stra(?:ss|ß)e|str\.|weg|gasse|platz|allee|ufer|damm|steig)\s+\d")
 _CUE_WORDS = frozenset(max(re.findall("[a-z]{2,}", c), key=len) for c in NAME_CUES.split("|"))
+_TITLE_WORDS = frozenset(t.split(".")[0] for t in TITLES)
+_WORDS = re.compile("[a-z]+")
 _TITLED = re.compile(r"\b(?:M\.|(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sra?|Srta|Dra?|Prof|Sig)\b)")
 _SLASHED = re.compile(r"[A-Z]/[A-Z]{2}")
 #: words that make "<number> <words> <street word>" something else than an address
@@ -436,13 +460,26 @@ def _scan(names: Names, key: bytes):
     return run
 
 
-def learned(rows: DataFrame, limit: int = SAMPLE_ROWS) -> Names:
-    """Names learned from up to `limit` texts, those of the smallest hashes."""
-    texts = rows.where("text <> ''").select("text")
-    n = texts.count()
-    unit = F.pmod(F.xxhash64("text", F.lit("names")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = texts.withColumn("unit", unit).where(F.col("unit") < min(1.0, 1.2 * limit / max(n, 1)))
-    return learn([r["text"] for r in some.orderBy("unit", "text").limit(limit).collect()])
+def _count(batches):
+    counts = Counter()
+    for b in batches:
+        counts.update(counted(b.column("text").to_pylist()))
+        if len(counts) > COUNTED:
+            yield _counts(counts)
+            counts.clear()
+    yield _counts(counts)
+
+
+def _counts(counts: Counter) -> pa.RecordBatch:
+    kind, a, b = zip(*counts) if counts else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(counts.values(), pa.int64())], names=["kind", "a", "b", "n"])
+
+
+def learned(rows: DataFrame) -> Names:
+    """Names learned from all texts, counted in the tasks; the driver gets a row for each word and pair of neighbours."""
+    counts = spread(rows.where("text <> ''").select("text")).mapInArrow(_count, "kind string, a string, b string, n long")
+    got = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    return names_of((tuple(k), n) for batch in got.to_batches() for *k, n in zip(*(batch.column(i).to_pylist() for i in range(4))))
 
 
 def secret(rows: DataFrame) -> bytes:

@@ -569,3 +569,10 @@ def test_residue_reads_letters_of_whole_texts():
     reader = residue.Reader()
     form = lambda text: residue.Windows(reader, [(text, False)]).form[0][4]
     assert form("word " * 400 + "12345 " * 2000) != form("word " * 400 + "words " * 2000)
+
+
+def test_names_are_learned_from_all_texts(spark):
+    rows = spark.createDataFrame([(f"we waited at gate {i}",) for i in range(41_000)] + [(t,) for t in SAID] * 2, "text string")
+    got, want = private.learned(rows), private.learn([r["text"] for r in rows.collect()])
+    assert (got.given, got.family, got.words, got.genders) == (want.given, want.family, want.words, want.genders)
+    assert got.words == private.learned(rows.repartition(7)).words and got.given
