@@ -147,7 +147,7 @@ def test_tfidf_keeps_pairs_in_a_task(spark, monkeypatch):
 
 
 def test_rrf_fuses_lists_scored_in_tasks(spark):
-    plan = entry.queries()["rrf_top5"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = entry.queries()["rrf_top5"](spark, SF.replace("sf0.001", "sf0.01"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
 
 
