@@ -151,6 +151,21 @@ def test_rrf_fuses_lists_scored_in_tasks(spark):
     assert plan.count("MapInArrow") == 2
 
 
+def test_fused_lists_share_an_index_and_move_few_candidates(spark, monkeypatch):
+    docs, q, post, _ = ranking_tables(spark)
+    x = R.indexed(docs)
+    assert x.docs.count() == 3001 and sorted(x.docs.selectExpr("doc_id", "inline(arrays_zip(term, tf))").collect()) == sorted(post.select("doc_id", "term", "tf").collect())
+    rows = lambda d: sorted(d.select("qid", "rank", "doc_id", "score").collect())
+    want = [rows(r(docs, q, 50)) for r in (R.bm25, R.tfidf)]
+    assert [rows(r(x, q, 50)) for r in (R.bm25, R.tfidf)] == want
+    monkeypatch.setattr(R, "VOCABULARY", 1)  # lengths are joined
+    assert rows(R.tfidf(x, q, 50)) == want[1]
+    monkeypatch.setattr(R, "top_k", lambda scores, k: scores)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    for ranker in (R.bm25, R.tfidf):
+        assert ranker(docs, q, 50).count() <= (math.isqrt(tasks - 1) + 1) * 50 * q.count()  # not `tasks` parts a query
+
+
 def test_dense_excludes_self_and_breaks_ties(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "doc_id long, vector array<double>")
     got = R.dense(v, v.withColumnRenamed("doc_id", "qid"), 2).where("qid = 1").orderBy("rank").collect()
