@@ -125,22 +125,42 @@ class Names:
         return out
 
 
-def counted(texts) -> Counter:
+def counted(texts, pieces: "Pieces | None" = None) -> Counter:
     """How many texts hold each (kind, a, b): a word as a use or in a family name's place, a given name
-    with the gender of its title, and pairs of neighbours, forwards and with a comma backwards."""
-    out = Counter()
+    with the gender of its title, and pairs of neighbours, forwards and with a comma backwards.
+
+    Texts are counted by their pieces, which repeat; patterns run over a whole text only where a
+    piece shows that one could match."""
+    pieces = Pieces() if pieces is None else pieces
+    out, uses, pairs, backs = Counter(), [], [], []
     for text in texts:
-        low = fold(text).lower()
-        out.update({("use", w, "") for w in _USE.findall(low)})
-        words = set(_WORDS.findall(low))
-        travel = [m.groups() for m in _TRAVEL.finditer(low)] if "/" in low else []
-        cues = ([m.groups() for m in _CUE.finditer(low)] if not _CUE_WORDS.isdisjoint(words) else []) + [(g, f) for f, g, _ in travel]
-        titles = [m.group(1, 2) for m in _TITLE.finditer(low)] if not _TITLE_WORDS.isdisjoint(words) else []
-        out.update({("seed", f, "") for _, f in cues} | {("seed", w, "") for _, w in titles})
-        out.update([("titled", w, TITLES[t]) for t, w in titles] + [("titled", g, TITLES.get(t, "")) for _, g, t in travel])
-        found = {m.groups() for m in _PAIR.finditer(low)}
-        out.update({("pair", a, b) for a, comma, b in found if not comma} | {("pair", *c) for c in cues})
-        out.update({("back", b, a) for a, comma, b in found if comma})
+        flags, used, near, back, before, initial = 0, set(), set(), set(), (), False
+        for f, words, tails, head, letter in map(pieces.__getitem__, text.split()):
+            flags |= f
+            used.update(words)
+            if before and head:
+                for w, comma in before:
+                    (back if comma else near).add((head, w) if comma else (w, head))
+            if letter and not initial:
+                initial = True  # what stands before an initial also meets what comes after it
+            else:
+                before, initial = tails, False
+        if flags:
+            low = fold(text).lower()
+            if flags & _BRACKET:
+                used = set(_USE.findall(low))
+            travel = [m.groups() for m in _TRAVEL.finditer(low)] if flags & _TRAVELS == _TRAVELS else []
+            cues = ([m.groups() for m in _CUE.finditer(low)] if flags & _CUED else []) + [(g, f) for f, g, _ in travel]
+            titles = [m.group(1, 2) for m in _TITLE.finditer(low)] if flags & _BEFORE_NAME else []
+            out.update({("seed", f, "") for _, f in cues} | {("seed", w, "") for _, w in titles})
+            out.update([("titled", w, TITLES[t]) for t, w in titles] + [("titled", g, TITLES.get(t, "")) for _, g, t in travel])
+            near.update(cues)
+        uses += used
+        pairs += near
+        backs += back
+    out.update({("use", w, ""): n for w, n in Counter(uses).items()})
+    out.update({("pair", *ab): n for ab, n in Counter(pairs).items()})
+    out.update({("back", *ab): n for ab, n in Counter(backs).items()})
     return out
 
 
@@ -215,6 +235,8 @@ ID = [
     re.compile(r"(?i)(?<![\w-])[a-z]{6}\d{2}[a-z]\d{2}[a-z]\d{3}[a-z](?![\w-])"),
     re.compile(r"(?i)(?<![\w/-])(?:[a-z]{2}\d{6,7}|\d{2}[a-z]{2}\d{5}|[cfghjklmnprtvwxyz]\d[cfghjklmnprtvwxyz]\d{6})(?![\w-])"),
 ]
+#: what a text must hold, in lower case, for the patterns above that ask for a label
+_ID_LABELS = {1: ("ssn", "social"), 4: ("national",), 7: ("pass", "pasaporte"), 8: ("licen", "permis", "fuhrerschein", "patente"), 9: ("dni", "nie", "nif"), 12: ("steuer",), 14: ("ausweis",)}
 #: letters and digits of the number itself, after its label
 _LABEL = re.compile(r"(?i)^(?:[a-z'°º]+(?:\.(?=\s|[a-z]\.)|-id\b)?(?:\s|\W(?=\s))+)*(?:n[°ºo]\.?\s*|no\.\s*|[a-z-]+\W+(?=\S*\d))*")
 
@@ -241,8 +263,7 @@ _DIGIT = re.compile(r"\d")
 _WORD = re.compile("[a-z]{2,}")
 _STREET_WORDS = [frozenset(re.findall("[a-z]{2,}", x)) for x in (STREETS_EN, "calle avda avenida paseo plaza camino", _FR, _IT, _PT)]
 _GERMAN = re.compile(r"(?:stra(?:ss|ß)e|str\.|weg|gasse|platz|allee|ufer|damm|steig)\s+\d")
-_CUE_WORDS = frozenset(max(re.findall("[a-z]{2,}", c), key=len) for c in NAME_CUES.split("|"))
-_TITLE_WORDS = frozenset(t.split(".")[0] for t in TITLES)
+_CUE_WORDS = frozenset(max(re.findall("[a-z]{2,}", c), key=lambda w: (w != "please", len(w))) for c in NAME_CUES.split("|"))
 _WORDS = re.compile("[a-z]+")
 _TITLED = re.compile(r"\b(?:M\.|(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sra?|Srta|Dra?|Prof|Sig)\b)")
 _SLASHED = re.compile(r"[A-Z]/[A-Z]{2}")
@@ -251,6 +272,91 @@ NOT_STREET = re.compile(r"(?i)\b(?:hours?|minutes?|days?|times?|people|row|half|
 _FRENCH_PLACE = re.compile(r"(?i)\d+\s+place\s")
 
 
+PIECES, LONGEST = 200_000, 64  # pieces that a task remembers, and the length up to which it does
+LONGEST_TITLE = max(map(len, TITLES)) + 2  # with a full stop and what stands before it
+
+#: what a piece of a text, as white space parts it, can be a part of
+_BRACKET, _TRAVEL_NAME, _TRAVEL_TITLE, _CUED, _BEFORE_NAME, _AT, _HAS_DIGIT, _CODED, _ENDS_NUMBER, _STARTS_NUMBER, _HOUSE, _STREET, _STREET_EN, _GIVEN, _FAMILY, _NAMED = (1 << i for i in range(16))
+_TRAVELS, _NUMBERS, _TITLED_FAMILY, _HOUSE_EN = _TRAVEL_NAME | _TRAVEL_TITLE, _ENDS_NUMBER | _STARTS_NUMBER, _FAMILY | _BEFORE_NAME, _HOUSE | _STREET_EN
+_TAIL = re.compile(rf"(?<![\w@/#.-])(?=({_W2})(,?)\Z)")
+_HEAD = re.compile(rf"({_W2})(?![\w-])")
+_LETTER = re.compile(r"[a-z]\.?\Z")
+_ENDS_TRAVEL = re.compile(rf"\b{_W2}/{_W2}\Z")
+_TRAVEL_TITLES = frozenset("mr mrs ms miss dr mstr".split())
+_STARTS_TITLE = re.compile(rf"(?:{'|'.join(sorted(_TRAVEL_TITLES))})\b")
+_ENDS_TITLE = re.compile(rf"\b{_T}\.?\Z")
+_MAIL_PIECE = re.compile(r"@(?:[a-z0-9-]+[.(\[{]|\Z)|dot|[(\[{]")
+_ENDS_DIGIT, _STARTS_DIGIT = re.compile(r"\d[().+-]*\Z"), re.compile(r"[().+-]*\d")
+_ENDS_HOUSE = re.compile(r"(?<![\w$€£.,#-])\d{1,5}[a-z]?\Z")
+_GERMAN_ENDINGS = ("strasse", "straße", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "steig")
+_PAPER_PIECES = tuple(p.split(" ")[0] for p in _PAPERS)
+_OTHER_STREETS = frozenset().union(*_STREET_WORDS[1:], ("apt", "flat"))
+_ZEROS = str.maketrans("123456789", "000000000")
+
+
+class _Remembered(dict):
+    """Pieces of texts with what of() finds in them; no pattern in it looks beyond a piece, or tells digits apart."""
+
+    def __missing__(self, piece: str):
+        shape = piece.translate(_ZEROS)
+        if shape in self:
+            return self[shape]
+        got = self.of(shape)
+        if len(shape) <= LONGEST:
+            if len(self) >= PIECES:
+                self.clear()
+            self[shape] = got
+        return got
+
+
+class Pieces(_Remembered):
+    """For counted(): flags, uses, words at the end (with whether a comma follows), a word at the start, and whether it is an initial."""
+
+    def of(self, piece: str) -> tuple:
+        low = fold(piece).lower()
+        if low.isascii() and low.isalpha():
+            flags = _TRAVEL_TITLE * (low in _TRAVEL_TITLES) | _CUED * (low in _CUE_WORDS) | _BEFORE_NAME * (low in TITLES)
+            return (flags, (low,), ((low, False),), low, False) if len(low) > 1 else (flags, (), (), None, True)
+        flags = _BRACKET * ("(" in low or "[" in low or "{" in low) | _TRAVEL_NAME * bool("/" in low and _ENDS_TRAVEL.search(low)) | _TRAVEL_TITLE * bool(_STARTS_TITLE.match(low))
+        flags |= _CUED * (not _CUE_WORDS.isdisjoint(_WORDS.findall(low))) | _BEFORE_NAME * bool(_ENDS_TITLE.search(low[-LONGEST_TITLE:]))
+        head = _HEAD.match(low)
+        return flags, tuple(_USE.findall(low)), tuple((m.group(1), bool(m.group(2))) for m in _TAIL.finditer(low)) if low[-1].isalpha() or low[-1] == "," else (), head and head.group(1), bool(_LETTER.match(low))
+
+
+class Gate(_Remembered):
+    """Which texts detect() could find something in."""
+
+    def __init__(self, names: "Names"):
+        super().__init__()
+        self.names = names
+
+    def of(self, piece: str) -> int:
+        t = fold(piece)
+        low = t.lower()
+        words = set(_WORD.findall(low))
+        flags = _GIVEN * (not self.names.any_given.isdisjoint(words)) | _FAMILY * (not self.names.any_family.isdisjoint(words)) | _BEFORE_NAME * bool(_ENDS_TITLE.search(low[-LONGEST_TITLE:]))
+        flags |= _NAMED * bool(not _CUE_WORDS.isdisjoint(words) or t != low and _TITLED.search(t) or "/" in t and _SLASHED.search(t))
+        flags |= _STREET_EN * (not _STREET_WORDS[0].isdisjoint(words)) | _STREET * bool(not _OTHER_STREETS.isdisjoint(words) or "c/" in low or low.endswith(_GERMAN_ENDINGS))
+        flags |= _AT * bool(_MAIL_PIECE.search(low)) | _CODED * any(p in low for p in _PAPER_PIECES)
+        if _DIGIT.search(low):
+            flags |= _HAS_DIGIT | _CODED * bool(_CODE.search(low) or _NUMBER.search(low)) | _ENDS_NUMBER * bool(_ENDS_DIGIT.search(low)) | _STARTS_NUMBER * bool(_STARTS_DIGIT.match(low)) | _HOUSE * bool(_ENDS_HOUSE.search(low))
+        return flags
+
+    def opens(self, text: str) -> bool:
+        """False only where detect() finds nothing."""
+        flags = 0
+        for f in map(self.__getitem__, text.split()):
+            flags |= f
+        if flags & (_GIVEN | _NAMED) or flags & _TITLED_FAMILY == _TITLED_FAMILY:
+            return True
+        if flags & _HAS_DIGIT and (flags & (_CODED | _STREET) or flags & _HOUSE_EN == _HOUSE_EN):
+            return True
+        if flags & _AT or flags & _NUMBERS == _NUMBERS:
+            low = fold(text).lower()
+            return bool(flags & _AT and ("dot" in low or _MAIL.search(low)) or flags & _NUMBERS == _NUMBERS and _NUMBER.search(low))
+        return False
+
+
 BASE = Names()  # before anything is learned: common names, cues and titles
 
 
@@ -275,7 +381,9 @@ def detect(text: str | None, names: Names = BASE) -> list[tuple[int, int, str]]:
                 _put(out, used, m.start(), m.end(), "email")
     digit = _DIGIT.search(low)
     if digit and (_NUMBER.search(low) or _CODE.search(low) or any(x in low for x in _PAPERS)):
-        for rx in ID:
+        for k, rx in enumerate(ID):
+            if k in _ID_LABELS and not any(x in low for x in _ID_LABELS[k]):
+                continue
             for m in rx.finditer(t):
                 if re.search(r"(?i)(?:tag|case|ticket|order(?: no\.?)?|no\.)\s*$", t[max(0, m.start() - 10) : m.start()]):
                     continue
@@ -450,9 +558,10 @@ FOUND = "src string, record_id long, text string, pii_type string, at int, until
 
 def _scan(names: Names, key: bytes):
     def run(batches):
+        gate = Gate(names)
         for b in batches:
             src, ids, texts = (b.column(c).to_pylist() for c in ("src", "record_id", "text"))
-            rows = [(s, i, t, k, lo, hi, t[lo:hi], canonical(k, t[lo:hi]), surrogate(k, t[lo:hi], key, 0, names.genders)) for s, i, t in zip(src, ids, texts) for lo, hi, k in detect(t, names)]
+            rows = [(s, i, t, k, lo, hi, t[lo:hi], canonical(k, t[lo:hi]), surrogate(k, t[lo:hi], key, 0, names.genders)) for s, i, t in zip(src, ids, texts) if gate.opens(t) for lo, hi, k in detect(t, names)]
             cols = list(zip(*rows)) if rows else [[]] * 9
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -461,9 +570,9 @@ def _scan(names: Names, key: bytes):
 
 
 def _count(batches):
-    counts = Counter()
+    counts, pieces = Counter(), Pieces()
     for b in batches:
-        counts.update(counted(b.column("text").to_pylist()))
+        counts.update(counted(b.column("text").to_pylist(), pieces))
         if len(counts) > COUNTED:
             yield _counts(counts)
             counts.clear()

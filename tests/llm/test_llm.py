@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -576,3 +577,34 @@ def test_names_are_learned_from_all_texts(spark):
     got, want = private.learned(rows), private.learn([r["text"] for r in rows.collect()])
     assert (got.given, got.family, got.words, got.genders) == (want.given, want.family, want.words, want.genders)
     assert got.words == private.learned(rows.repartition(7)).words and got.given
+
+
+def odd_texts(n):
+    rng = random.Random(8)
+    parts = "my name is Zoe zoe, Obermoss OBERMOSS/ZOE MRS mr Mr. M. dr A. b John Miller, o'brien anne-marie please page bag of dear (at) (at at) dot foo@ @bar.com jo@mail.example @249726 617 555-0166 +1 (617) - 12 34 56 78 90 972-19-5809 7b Street Ave, rue de la Paix via C/ Mayor Hauptstraße weg 5 flat 3b, passport AB1 permiso Straße İzmir １２   - https://t.example/ab1 x-y . ; the seat".split(" ")
+    return ["".join(rng.choice(parts) + rng.choice("       \n.") for _ in range(rng.randint(1, 9))) for _ in range(n)]
+
+
+def test_only_texts_that_could_hold_something_are_searched(monkeypatch):
+    texts = [t for t in MISSED if t] + ["@249726 the seat at gate B12 is taken", "please help, we wait"] * 50 + odd_texts(3000)
+    want, asked, detect = [(t, k) for t in texts for _, _, k in private.detect(t, NAMES)], [], private.detect
+    monkeypatch.setattr(private, "detect", lambda t, names: asked.append(t) or detect(t, names))
+    batch = pa.RecordBatch.from_pydict({"src": ["twcs"] * len(texts), "record_id": list(range(len(texts))), "text": texts})
+    got = [(r["text"], r["pii_type"]) for b in private._scan(NAMES, b"k")([batch]) for r in b.to_pylist()]
+    assert got == want and not {"@249726 the seat at gate B12 is taken", "please help, we wait"} & set(asked)
+
+
+def test_words_are_counted_by_pieces_as_on_whole_texts():
+    texts, want = [*SAID, *odd_texts(3000), "", "a" * 100, "Zoe A. b Obermoss", "foo (at bar"], private.Counter()
+    for text in texts:
+        low = private.fold(text).lower()
+        pairs, cues = {m.groups() for m in private._PAIR.finditer(low)}, {m.groups() for m in private._CUE.finditer(low)}
+        travel = [m.groups() for m in private._TRAVEL.finditer(low)]
+        cues |= {(g, f) for f, g, _ in travel}
+        titles = [m.group(1, 2) for m in private._TITLE.finditer(low)]
+        want.update({("use", w, "") for w in private._USE.findall(low)} | {("seed", f, "") for _, f in cues} | {("seed", w, "") for _, w in titles})
+        want.update({("pair", a, b) for a, comma, b in pairs if not comma} | {("pair", *c) for c in cues} | {("back", b, a) for a, comma, b in pairs if comma})
+        want.update([("titled", w, private.TITLES[t]) for t, w in titles] + [("titled", g, private.TITLES.get(t, "")) for _, g, t in travel])
+    pieces = private.Pieces()
+    assert private.counted(texts, pieces) == private.counted(texts, pieces) == want
+    assert len(pieces) < 3000 and {k for k, _, _ in want} == {"use", "pair", "back", "seed", "titled"}
